@@ -1,0 +1,36 @@
+"""Connected components of an edge table by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kindred.llm.common import spool
+
+
+def pull_to_min(edges: DataFrame, larger_only: bool) -> DataFrame:
+    """For each u: its larger neighbours (large-star) or smaller ones and itself (small-star) point to the smallest node around u.
+
+    The smallest node is an aggregate joined back, so a node with very many neighbours is never gathered in one place.
+    """
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger_only else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    joined = both.join(least, "u")
+    if larger_only:
+        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return out.where("u <> v").distinct()
+
+
+def components(edges: DataFrame, name: str = "edges") -> DataFrame:
+    """``node, component`` (its smallest node) for all nodes of ``u, v`` (long); each round is a written table."""
+    now = spool(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    before, k = None, 0
+    while True:
+        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+        if mark == before or not mark[0]:
+            break
+        before, k = mark, k + 1
+        now = spool(pull_to_min(pull_to_min(now, True), False), f"{name}{k}")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

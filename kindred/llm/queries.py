@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kindred.llm import byte_bpe, exact_dedup, fingerprints, mixing, sharding, toxicity
+from kindred.llm import byte_bpe, exact_dedup, fingerprints, jaccard_join, mixing, sharding, toxicity
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
