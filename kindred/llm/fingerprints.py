@@ -58,7 +58,7 @@ def block_of(value: Column, splits: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
-    """``doc_id, t, leaves, next_t, next_leaves``: each row with the next in ascending doc_id, the last with the first.
+    """``doc_id, t, next_t``: each row with the next in ascending doc_id, the last with the first.
 
     Quantiles of doc_id cut the rows into blocks of about ``block_bytes``; inside them a window finds the
     next row, and the last row of a block takes the first of the next block. Texts move once.
@@ -69,23 +69,17 @@ def with_next(docs: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
     n = blocks_for(total, block_bytes)
     cuts = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)], max(10_000, 4 * n))).first()[0] or []
     splits = sorted(set(cuts))
-    placed = ids.withColumn("leaves", leaves(F.col("t"))).withColumn("block", block_of(F.col("id"), splits))
+    placed = ids.withColumn("block", block_of(F.col("id"), splits)).withColumn("sha", F.sha2("t", 256))
     first = {r.block: r.id for r in ids.select("id", block_of(F.col("id"), splits).alias("block")).groupBy("block").agg(F.min("id").alias("id")).collect()}
     # one row a block: the first of the block that follows, by id
     order = sorted(first)
     after = docs.sparkSession.createDataFrame([(b, first[order[(k + 1) % len(order)]]) for k, b in enumerate(order)], "block int, head_id long")
-    heads = ids.where(F.col("id").isin(sorted(set(first.values())))).withColumn("sha", F.sha2("t", 256))
-    heads = heads.groupBy("id").agg(F.min_by("t", "sha").alias("head_t")).select(F.col("id").alias("head_id"), "head_t", leaves(F.col("head_t")).alias("head_leaves"))
-    heads = after.join(heads, "head_id").select("block", "head_t", "head_leaves")
-    w = Window.partitionBy("block").orderBy("id", "sha")
-    led = (
-        placed.withColumn("sha", F.sha2("t", 256))
-        .withColumn("n", F.lead(F.struct("t", "leaves")).over(w))
-        .select("block", "id", "t", "leaves", "n")
-    )
-    last = led.where("n is null").drop("n").join(heads, "block").select("id", "t", "leaves", F.col("head_t").alias("next_t"), F.col("head_leaves").alias("next_leaves"))
-    rest = led.where("n is not null").select("id", "t", "leaves", F.col("n.t").alias("next_t"), F.col("n.leaves").alias("next_leaves"))
-    return rest.unionByName(last).withColumn("doc_id", F.expr("nullif(id, -9223372036854775808L)"))
+    heads = ids.where(F.col("id").isin(sorted(set(first.values())))).withColumn("sha", F.sha2("t", 256)).groupBy("id").agg(F.min_by("t", "sha").alias("head_t"))
+    heads = after.join(heads.withColumnRenamed("id", "head_id"), "head_id").select("block", "head_t")
+    led = placed.withColumn("n", F.lead("t").over(Window.partitionBy("block").orderBy("id", "sha")))
+    # the window has dealt the rows by block already, so this join moves only the heads
+    joined = led.join(heads, "block", "left")
+    return joined.select(F.expr("nullif(id, -9223372036854775808L)").alias("doc_id"), "t", F.coalesce("n", "head_t").alias("next_t"))
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -96,6 +90,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     """
     pairs = with_next(pick(docs, "doc_id", "text"))
     edited = pairs.withColumn("e", F.concat(F.expr("left(t, length(t) - length(t) div 2)"), F.expr("left(next_t, cast(length(t) div 2 as int))")))
+    edited = edited.withColumn("leaves", leaves(F.col("t"))).withColumn("next_leaves", leaves(F.col("next_t")))
     trees = edited.withColumn("tree", sections(F.col("t"))).withColumn("edited_tree", sections(F.col("e"))).withColumn("edited_leaves", leaves(F.col("e")))
     nodes = lambda tree: F.transform(tree, lambda s: s["node"])
     at = first_difference(nodes(F.col("tree")), nodes(F.col("edited_tree"))).cast("int")
