@@ -1,6 +1,6 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and clauses.
 
-A section ends at an empty line, a paragraph at a line end, a clause at punctuation or after 96 characters.
+A section ends at an empty line, a paragraph at a line end, a clause at punctuation or after 32 characters.
 A paragraph's node is the digest of its text, a section's that of its paragraphs' nodes, the root's that of
 the sections' nodes. Cuts lose no character, so equal roots mean equal texts. Where roots differ, the first
 differing section and paragraph tell where an edit begins; the share of equal clause leaves is the likeness.
@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from kindred.llm.common import blocks_for, pick, table, text_of
 
-SECTION, PARAGRAPH, CLAUSE = r"(?<=\n\n)", r"(?<=\n)", r"(?s).{1,96}?(?:[.!?,;:]\s|\n|\z)|.{1,96}"
+SECTION, PARAGRAPH, CLAUSE = r"(?<=\n\n)", r"(?<=\n)", r"(?s).{1,32}?(?:[.!?,;:]\s|\n|\z)|.{1,32}"
 
 
 def sections(text: Column) -> Column:
