@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kindred.llm import byte_bpe, exact_dedup, fingerprints, jaccard_join, mixing, sharding, toxicity
+from kindred.llm import byte_bpe, exact_dedup, fingerprints, jaccard_join, mixing, sharding, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_sharding": sharding.op2_sharding,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
