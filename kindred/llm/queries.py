@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import byte_bpe, exact_dedup, fingerprints, jaccard_join, mixing, sharding, suffix_dedup, toxicity
+from kindred.llm import archives, byte_bpe, exact_dedup, fingerprints, jaccard_join, mixing, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -10,9 +10,10 @@ QUERIES = {
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_warc": archives.op7_warc,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+ORACLE = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op7_warc": archives.OP7_SQL}
