@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: What splits words: ASCII white space only, the same class everywhere in this package.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +45,25 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(n) for n in names])
 
 
+def mark(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows apart where ids repeat: a hash of id and text."""
+    return F.xxhash64(doc_id, text)
+
+
+def with_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``chosen`` (doc_id, mark, times) names, each ``times`` times.
+
+    Of rows that are repeated with id and text, the first stands for all. Whole rows move once, by id and mark.
+    """
+    key = F.coalesce("doc_id", F.lit(0))
+    names, taken = docs.columns, set(docs.columns)
+    k, m, n, t = (next(x for x in (f"{y}{i or ''}" for i in range(99)) if x not in taken) for y in ("_key", "_mark", "_nth", "_times"))
+    totals = chosen.select(key.alias(k), F.col("mark").alias(m), F.col("times").alias(t)).groupBy(k, m).agg(F.sum(t).alias(t)).where(F.col(t) > 0)
+    once = docs.withColumn(k, key).withColumn(m, mark()).withColumn(n, F.row_number().over(Window.partitionBy(k, m).orderBy(k))).where(F.col(n) == 1)
+    joined = once.join(totals, [k, m])
+    return joined.withColumn(t, F.explode(F.sequence(F.lit(1).cast("long"), F.col(t)))).select(*names)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import pick, spool, table, text_of
+from kindred.llm.common import mark, pick, spool, table, text_of, with_rows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,12 +28,13 @@ def chunk_pattern(least: int, most: int) -> str:
 
 def recipes(docs: DataFrame, least: int = 512, most: int = 8192) -> DataFrame:
     """``row`` (number of the input row), ``doc_id``, ``text_sha256`` and ``recipe``, the ordered list of verified chunk identifiers."""
-    norm = pick(docs, "doc_id", "text").select("doc_id", normalise(text_of()).alias("norm"))
+    norm = pick(docs, "doc_id", "text").select("doc_id", mark().alias("mark"), normalise(text_of()).alias("norm"))
     chunks = F.regexp_extract_all("norm", F.lit(chunk_pattern(least, most)), F.lit(0))
     weak = spool(
         norm.select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
+            "mark",
             F.sha2("norm", 256).alias("text_sha256"),
             F.transform(chunks, lambda c: F.struct(F.xxhash64(c).alias("h"), F.xxhash64(F.lit(1), c).alias("v"), F.xxhash64(F.lit(2), c, F.octet_length(c)).alias("w"))).alias("chunks"),
         ),
@@ -48,13 +49,13 @@ def recipes(docs: DataFrame, least: int = 512, most: int = 8192) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256`` and ``mark`` (hash of id and text).
 
     Null texts are empty texts. Of equal texts the largest doc_id stays; of repeated rows with one
     doc_id exactly one is kept; a null doc_id is smaller than any other. An empty table gives an
     empty result. Extra columns are ignored.
     """
-    lists = spool(recipes(docs).select("row", "doc_id", "text_sha256", F.sha2(F.array_join("recipe", ","), 256).alias("list")), "lists")
+    lists = spool(recipes(docs).select("row", "doc_id", "mark", "text_sha256", F.sha2(F.array_join("recipe", ","), 256).alias("list")), "lists")
     groups = lists.groupBy("list", "text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
     return lists.join(groups, ["list", "text_sha256"]).select(
         "doc_id",
@@ -62,11 +63,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"),
         "text_sha256",
+        "mark",
     )
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay."""
+    return with_rows(docs, exact_dedup(docs).where("kept").select("doc_id", "mark", F.lit(1).alias("times")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("mark")
 
 
 OP6_SQL = f"""

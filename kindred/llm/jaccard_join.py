@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import pick, spool, table
+from kindred.llm.common import mark, pick, spool, table, with_rows
 from kindred.llm.components import components
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -128,7 +128,7 @@ def sketch(docs: DataFrame, n: int, picks: int) -> DataFrame:
                     ["doc_id", "mark", "n", "k1", "k2", "picks", "sketch"],
                 )
 
-    marked = pick(docs, "doc_id", "text").withColumn("mark", F.xxhash64("doc_id", "text"))
+    marked = pick(docs, "doc_id", "text").withColumn("mark", mark())
     return marked.mapInArrow(run, "doc_id long, mark long, n long, k1 long, k2 long, picks array<long>, sketch binary")
 
 
@@ -301,18 +301,19 @@ def with_grams(rows: DataFrame, n: int) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """``doc_id, class_id, n_links`` for each input row.
+    """``doc_id, class_id, n_links, stays`` and ``mark`` (hash of id and text) for each input row.
 
     ``n_links`` counts the other rows whose Jaccard similarity of word n-gram sets is at least ``threshold``, equal
     sets included; ``class_id`` is the smallest doc_id among the documents that chains of links reach. A text
-    without words, or null, has no grams and no links: its class is itself (null ids stay null). Repeated rows are
+    without words, or null, has no grams and no links: its class is itself (null ids stay null).
+    ``stays`` holds for one row of each class, that with the smallest doc_id. Repeated rows are
     copies of each other. An empty table gives an empty result. Extra columns are ignored.
     """
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH)))
     rows = spool(sketch(docs, n, runs * DEPTH).withColumn("uid", F.monotonically_increasing_id()), "sketches")
     keyed = rows.where("n > 0")
     sets = spool(
-        keyed.groupBy("k1", "k2").agg(F.min("uid").alias("sid"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_doc")),
+        keyed.groupBy("k1", "k2").agg(F.min("uid").alias("sid"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "uid")).alias("least")),
         "sets",
     )
     content = spool(sets.select("sid").join(keyed, F.col("sid") == F.col("uid")).select("sid", "mark", "k1", "k2", "picks", "sketch"), "content")
@@ -322,7 +323,7 @@ def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK))
     placed = comps.join(members, "component").withColumn("nth", F.pmod(F.xxhash64("node"), blocks))
     wanted = placed.join(sets, F.col("node") == F.col("sid")).join(content.select("sid", "mark"), "sid").select("component", "sid", "copies", "nth", "members", "k1", "k2", "mark")
-    marked = pick(docs, "doc_id", "text").withColumn("mark", F.xxhash64("doc_id", "text")).select("mark", "text")
+    marked = pick(docs, "doc_id", "text").withColumn("mark", mark()).select("mark", "text")
     # rows that are repeated have the same mark and text: one is enough
     found = with_grams(marked.join(wanted, "mark").dropDuplicates(["sid"]), n)
     found = spool(found, "grams").withColumn("blocks", blocks)
@@ -335,11 +336,17 @@ def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, reca
     counted = links.groupBy("sid").agg(F.sum("links").alias("links"))
     known = sets.join(classes, F.col("sid") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "sid")).join(counted, "sid", "left")
     known = spool(known, "known")
-    class_ids = known.groupBy("component").agg(F.min("least_doc").alias("class_id"))
-    known = known.join(class_ids, "component").select("k1", "k2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    worded = rows.where("n > 0").select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id", "n_links")
-    return worded.unionByName(rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    class_ids = known.groupBy("component").agg(F.min("least").alias("best"))
+    known = known.join(class_ids, "component").select("k1", "k2", "best", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    worded = rows.where("n > 0").select("doc_id", "mark", "uid", "k1", "k2").join(known, ["k1", "k2"])
+    worded = worded.select("doc_id", F.col("best.doc_id").alias("class_id"), "n_links", (F.col("uid") == F.col("best.uid")).alias("stays"), "mark")
+    return worded.unionByName(rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"), "mark"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each class."""
+    return with_rows(docs, similarity_classes(docs, n, threshold, recall).where("stays").select("doc_id", "mark", F.lit(1).alias("times")))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_classes(table(spark, sf_dir, "documents"))
+    return similarity_classes(table(spark, sf_dir, "documents")).drop("mark")

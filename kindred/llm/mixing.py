@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kindred.llm.common import WORD, pick, spool, table, text_of
+from kindred.llm.common import WORD, mark, pick, spool, table, text_of, with_rows
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Documents that meet in one block of the reduction tree, on average.
@@ -105,7 +105,7 @@ def round_together(items: DataFrame, rows: int, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` and ``copies`` for each input row.
+    """``doc_id, size, source_size, target, taken``, ``copies`` and ``mark`` (hash of id and text) for each input row.
 
     Sources by code point, null last, get ``weights`` in turn. A null or wordless text has size 0 and
     takes nothing. Repeated rows are rounded each by itself. The same rows give the same result in any
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     """
     rows = spool(
         pick(docs, "doc_id", "text", "source").select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size")
+            F.monotonically_increasing_id().alias("row"), "doc_id", mark().alias("mark"), "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size")
         ),
         "rows",
     )
@@ -125,8 +125,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     items = rated.where("p > 0 and size > 0").select("source", "row", F.xxhash64("doc_id", "size").alias("tie"), F.col("size").cast("double").alias("size"), "p")
     ups = round_together(items, rows.count(), seed)
     copies = (F.col("base") + F.coalesce("up", F.lit(0))).cast("long")
-    return rated.join(ups, "row", "left").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long")).alias("copies"))
+    return rated.join(ups, "row", "left").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("long")).alias("copies"), "mark")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
+    """The mix itself: the rows of ``docs``, with all their columns, as often as they are taken."""
+    return with_rows(docs, mix(docs, weights, most, seed).select("doc_id", "mark", F.col("copies").alias("times")))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("mark")

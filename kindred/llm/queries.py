@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kindred.llm import archives, byte_bpe, exact_dedup, fingerprints, jaccard_join, mixing, sharding, suffix_dedup, toxicity
+from kindred.llm import archives, byte_bpe, exact_dedup, fingerprints, html_text, jaccard_join, mixing, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_sharding": sharding.op2_sharding,
     "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op4_html_text": html_text.op4_html_text,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_warc": archives.op7_warc,

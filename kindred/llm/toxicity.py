@@ -304,5 +304,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, trainin
     return rows.mapInArrow(run, SCHEMA)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 6000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``; a narrow pass."""
+    params = docs.sparkSession.sparkContext.broadcast(train(*sample_of(docs, labels, training_rows)).p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = object.__new__(Network)
+        net.p = params.value
+        for b in batches:
+            yield b.filter(pa.array(net.score([t or "" for t in b.column("text").to_pylist()]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
