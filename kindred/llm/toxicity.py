@@ -19,7 +19,10 @@ from kindred.llm.common import pick, table
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH = 8, 8
-WORDS, GRAMS, LETTERS = 1 << 15, 1 << 15, 18
+TABLE_BITS, LETTERS = 18, 18
+WORDS = GRAMS = 1 << TABLE_BITS
+#: Texts in which a feature must occur for training to use it.
+RARE = 4
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: Words of text that are turned into numbers at a time, and windows that go through the network at a time.
 PIECE, BATCH = 1 << 19, 4096
@@ -40,25 +43,26 @@ class Words:
         start, end = edge[0::2], edge[1::2]
         self.text = np.searchsorted(ends_of, start, side="right")
         size = np.minimum(end - start, LETTERS - 2)
-        # the first letters, framed by 1 and 2
-        near = start[:, None] + np.arange(LETTERS - 2)
-        cells = np.where(np.arange(LETTERS - 2) < size[:, None], buf[np.minimum(near, len(buf) - 1)], 0).astype(np.uint64)
+        cells = np.zeros((LETTERS - 2, len(start)), np.uint8)
         key = np.zeros(len(start), np.uint64)
         with np.errstate(over="ignore"):
             for k in range(LETTERS - 2):
-                key = key * BASE + cells[:, k] + np.uint64(1)
+                cells[k] = np.where(k < size, buf[np.minimum(start + k, len(buf) - 1)], 0)
+                key = key * BASE + cells[k] + np.uint64(1)
             key ^= key >> np.uint64(29)
-        _, first, self.of = np.unique(key, return_index=True, return_inverse=True)
-        self.word = (key[first] * BASE >> np.uint64(64 - 15)).astype(np.int64) % WORDS
-        n = size[first]
-        framed = np.zeros((len(first), LETTERS + 3), np.uint64)
-        framed[:, 0] = 1
-        framed[:, 1 : LETTERS - 1] = cells[first]
-        framed[np.arange(len(first)), n + 1] = 2
-        with np.errstate(over="ignore"):
-            mixed = sum(framed[:, j : j + LETTERS - 1] * np.uint64(pow(0x2545F4914F6CDD1D, j + 1, 1 << 64)) for j in range(4))
-            mixed = (mixed ^ mixed >> np.uint64(31)) * BASE
-        self.grams = (mixed >> np.uint64(64 - 15)).astype(np.int64) % GRAMS
+            _, first, of = np.unique(key, return_index=True, return_inverse=True)
+            self.of = of.astype(np.int32)
+            self.word = (key[first] * BASE >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
+            # the first letters, framed by 1 and 2, in fours
+            n = size[first]
+            framed = np.zeros((LETTERS + 3, len(first)), np.uint8)
+            framed[0] = 1
+            framed[1 : LETTERS - 1] = cells[:, first]
+            framed[n + 1, np.arange(len(first))] = 2
+            self.grams = np.empty((len(first), LETTERS - 1), np.int32)
+            for k in range(LETTERS - 1):
+                mixed = sum(framed[k + j].astype(np.uint64) * np.uint64(pow(0x2545F4914F6CDD1D, j + 1, 1 << 64)) for j in range(4))
+                self.grams[:, k] = ((mixed ^ mixed >> np.uint64(31)) * BASE) >> np.uint64(64 - TABLE_BITS)
         self.has = np.arange(LETTERS - 1) < np.maximum(n - 1, 1)[:, None]
 
     def windows(self, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +75,7 @@ class Words:
         at = nth[:, None] * STRIDE + np.arange(WINDOW)
         inside = at < n[text][:, None]
         place = np.where(inside, begin[text][:, None] + at, 0)
-        return np.where(inside, self.of[place] if len(self.of) else -1, -1), text
+        return np.where(inside, self.of[place] if len(self.of) else -1, -1).astype(np.int32), text
 
 
 def texts_by_words(texts: list[str]) -> Iterator[list[str]]:
@@ -97,7 +101,8 @@ class Network:
     def __init__(self, seed: int = 1):
         r = np.random.default_rng(seed)
         mat = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"word": 0.1 * mat(WORDS, WIDTH) * np.float32(np.sqrt(WORDS)), "gram": 0.5 * mat(GRAMS, WIDTH) * np.float32(np.sqrt(GRAMS)), "v": mat(2 * HIDDEN), "out": mat(2 * HIDDEN), "bias": np.full(1, -1.0, np.float32)}
+        # what training hasn't met says nothing
+        self.p = {"word": np.zeros((WORDS, WIDTH), np.float32), "gram": np.zeros((GRAMS, WIDTH), np.float32), "v": mat(2 * HIDDEN), "out": mat(2 * HIDDEN), "bias": np.full(1, -1.0, np.float32)}
         for d in "fb":
             self.p |= {f"w{d}": mat(2 * WIDTH, 3 * HIDDEN), f"u{d}": mat(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p["vs"] = np.ones(1, np.float32)
@@ -232,20 +237,27 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 6,
     words = Words(texts)
     rows, text = words.windows(len(texts))
     positive = labels[text]
-    # log-odds of the features over texts, to find the telling windows of toxic texts at first
-    def odds(feature: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-        pair = np.unique(owner.astype(np.int64) * size + feature)
-        hit, owner = pair % size, pair // size
-        with_pos = np.bincount(hit[labels[owner]], minlength=size)
-        with_neg = np.bincount(hit[~labels[owner]], minlength=size)
-        return np.log((with_pos + 0.1) / (labels.sum() + 1)) - np.log((with_neg + 1.0) / ((~labels).sum() + 1))
-
-    by_word = odds(words.word[words.of], words.text, WORDS)[words.word]
-    at, col = np.nonzero(words.has[words.of]) if len(words.of) < 4_000_000 else (np.zeros(0, int),) * 2
-    by_gram = odds(words.grams[words.of[at], col], words.text[at], GRAMS)[words.grams]
-    by_gram = np.where(words.has, by_gram, -9).max(1)
+    # log-odds of the features over words of texts, to find the telling windows of toxic texts at first
+    pair = np.unique(words.text.astype(np.int64) * len(words.word) + words.of)
+    toxic, pair = labels[pair // len(words.word)], pair % len(words.word)
+
+    def odds(columns: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+        count = np.zeros((2, size))
+        for feature, on in columns:
+            for y in (0, 1):
+                at = pair[toxic == y]
+                count[y] += np.bincount(feature[at[on[at]]], minlength=size)
+        return np.log((count[1] + 0.1) / (labels.sum() + 1)) - np.log((count[0] + 1.0) / ((~labels).sum() + 1))
+
+    # a feature of few texts would only be learnt by heart
+    common = {"word": np.bincount(words.word[pair], minlength=WORDS) >= RARE, "gram": sum(np.bincount(words.grams[pair[words.has[pair, k]], k], minlength=GRAMS) for k in range(words.has.shape[1])) >= RARE}
+    by_word = odds([(words.word, np.ones(len(words.word), bool))], WORDS)[words.word]
+    of_gram = odds([(words.grams[:, k], words.has[:, k]) for k in range(words.has.shape[1])], GRAMS)
+    by_gram = np.full(len(words.word), -9.0)
+    for k in range(words.has.shape[1]):
+        by_gram = np.maximum(by_gram, np.where(words.has[:, k], of_gram[words.grams[:, k]], -9.0))
     of_word = np.append(np.maximum(by_word, by_gram), -9.0)
-    suspect = of_word[rows].max(1)
+    suspect = np.concatenate([of_word[rows[k : k + BATCH]].max(1) for k in range(0, len(rows), BATCH)])
     opt = Adam(net.p, 0.01)
     neg_at = np.flatnonzero(~positive)
     for epoch in range(epochs):
@@ -253,6 +265,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 6,
             gates = net.projected(net.inputs(words))
             look = np.flatnonzero(positive) if epoch < 3 else np.arange(len(rows))
             suspect[look] = np.concatenate([net.forward(gates, rows[look[k : k + BATCH]]) for k in range(0, len(look), BATCH)])
+            del gates
         order = np.lexsort((-suspect, text))
         rank = np.empty(len(rows), np.int64)
         rank[order] = np.arange(len(rows)) - np.searchsorted(text, text[order])
@@ -261,11 +274,15 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 6,
         hard = neg_at[np.argsort(-suspect[neg_at], kind="stable")[: negatives // 3]]
         neg = np.unique(np.concatenate([hard, r.choice(neg_at, min(len(neg_at), negatives - len(hard)), replace=False)]))
         both = r.permutation(np.concatenate([pos, neg]))
-        share = np.where(positive[both], min(4.0, max(1.0, len(neg) / max(1, len(pos)) / 4)), 1.0)
+        share = np.where(positive[both], 2.0, 1.0)
         for k in range(0, len(both), batch):
             b = both[k : k + batch]
             opt.rate = 0.01 * (0.5 if epoch >= epochs - 2 else 1.0)
-            opt.step(net.gradients(words, rows[b], positive[b].astype(np.float32), share[k : k + batch].astype(np.float32))[0])
+            grads, _ = net.gradients(words, rows[b], positive[b].astype(np.float32), share[k : k + batch].astype(np.float32))
+            for name, keep in common.items():
+                at, g = grads[name]
+                grads[name] = at[keep[at]], g[keep[at]]
+            opt.step(grads)
     return net
 
 
@@ -282,7 +299,7 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 6000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each input row.
 
     ``training_rows`` bounds the labelled texts the network is trained on; scoring reads every whole text in a
@@ -304,7 +321,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, trainin
     return rows.mapInArrow(run, SCHEMA)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 6000) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below ``threshold``; a narrow pass."""
     params = docs.sparkSession.sparkContext.broadcast(train(*sample_of(docs, labels, training_rows)).p)
 
