@@ -33,7 +33,7 @@ from kindred.llm.common import blocks_for, pick, spool, table, text_of
 from kindred.llm.jaccard_join import by_size, mix
 
 LENGTH, GRAM, LEAD = 200, 100, 16
-SLICE, BUCKET = 4 << 20, 64 << 20
+SLICE, BATCH, BUCKET = 1 << 20, 16 << 20, 32 << 20
 SAMPLE_DOCS, SAMPLE_LEADS = 2000, 50_000
 #: Edges that share a gram, beyond which their windows are dealt by themselves.
 CROWD = 4096
@@ -137,34 +137,45 @@ def joined(start: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.nd
 def find_anchors(docs: DataFrame, splitters: np.ndarray, length: int, gram: int) -> DataFrame:
     """``bucket, blob``: the stretches of all texts, dealt by the leading bytes at their anchors."""
 
+    def dealt(parts: list[tuple], turn: int) -> pa.RecordBatch:
+        ids, marks, gram, whole, start, anchor, count, lead = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 3, 5, 6, 7, 8))
+        base = np.cumsum([0, *(len(p[0]) for p in parts)])
+        doc = np.concatenate([p[4] + n for p, n in zip(parts, base)])
+        order, _, new = repeats(gram, whole)
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(order)))
+        keep = order[first]  # one of each; the others, and itself, are covered if there are others
+        many = np.zeros(len(order), bool)
+        many[order] = np.repeat(times > 1, times)
+        done = joined(start[many], count[many], doc[many])
+        bucket = np.searchsorted(splitters, lead[keep], side="right")
+        sorted_ = np.argsort(bucket, kind="stable")
+        own = turn % (len(splitters) + 1)  # the bucket that carries what is known already
+        names, blobs = [], []
+        there, cuts = np.unique(bucket[sorted_], return_index=True)
+        cuts = dict(zip(there.tolist(), zip(cuts.tolist(), [*cuts.tolist()[1:], len(sorted_)])))
+        for k in {**cuts, **({own: None} if len(done[0]) else {})}:
+            low, high = cuts.get(k, (0, 0))
+            p = keep[sorted_[low:high]]
+            extra = done if k == own else tuple(y[:0] for y in done)
+            used, local = np.unique(np.concatenate([doc[p], extra[2]]), return_inverse=True)
+            names.append(k)
+            blobs.append(pack(ids[used], marks[used], gram[p], whole[p], local[: len(p)].astype(np.uint32), start[p].astype(np.uint32), anchor[p].astype(np.uint32), count[p].astype(np.uint16), many[p].astype(np.uint8), *(y.astype(np.uint32) for y in (extra[0], extra[1], local[len(p) :]))))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        parts, size, turn = [], 0, 0
         for batch in batches:
             for b in by_size(batch, "t", SLICE):
                 x = Stretches([t.encode("utf-8", "replace") for t in b.column("t").to_pylist()], length, gram)
-                ids, marks = b.column("id").to_numpy(), b.column("mark").to_numpy()
-                start = x.start - x.begins[x.doc]
-                order, _, new = repeats(x.gram, x.whole)
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(order)))
-                keep = order[first]  # one of each; the others, and itself, are covered if there are others
-                many = np.zeros(len(order), bool)
-                many[order] = np.repeat(times > 1, times)
-                done = joined(start[many], x.count[many], x.doc[many])
-                bucket = np.searchsorted(splitters, x.leads(x.anchor[keep]), side="right")
-                turn += 1
-                names, blobs = [], []
-                parts = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[parts], np.arange(len(splitters) + 2))
-                for k in range(len(splitters) + 1):
-                    p = keep[parts[cuts[k] : cuts[k + 1]]]
-                    extra = done if k == turn % (len(splitters) + 1) else tuple(y[:0] for y in done)
-                    if not len(p) and not len(extra[0]):
-                        continue
-                    used, local = np.unique(np.concatenate([x.doc[p], extra[2]]), return_inverse=True)
-                    names.append(k)
-                    blobs.append(pack(ids[used], marks[used], x.gram[p], x.whole[p], local[: len(p)].astype(np.uint32), start[p].astype(np.uint32), (x.anchor[p] - x.begins[x.doc[p]]).astype(np.uint32), x.count[p].astype(np.uint16), many[p].astype(np.uint8), *(y.astype(np.uint32) for y in (extra[0], extra[1], local[len(p) :]))))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                here = x.begins[x.doc]
+                parts.append((b.column("id").to_numpy(), b.column("mark").to_numpy(), x.gram, x.whole, x.doc, x.start - here, x.anchor - here, x.count, x.leads(x.anchor)))
+                size += len(x.buf)
+                if size >= BATCH:
+                    yield dealt(parts, turn)
+                    parts, size, turn = [], 0, turn + 1
+        if parts:
+            yield dealt(parts, turn)
 
     return docs.mapInArrow(run, "bucket int, blob binary")
 
