@@ -165,8 +165,8 @@ def convert(arc: bytes, identify: Callable[[int, Record], tuple[str, str | None]
         yield write_warc(r, *identify(k, r))
 
 
-def plan(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """``page_id, url, html, copy, refers``: which response each page revisits, if any.
+def plan(pages: DataFrame, least_bytes: int, parts: int) -> DataFrame:
+    """``page_id, url, html, copy, revisit, first`` in ``parts`` partitions: which response each page revisits, if any.
 
     Digests alone decide; pages move once, by page, so that a payload that a third of them share isn't gathered.
     """
@@ -175,7 +175,8 @@ def plan(pages: DataFrame, least_bytes: int) -> DataFrame:
     small = spool(keyed.select("page_id", "sha", F.octet_length("html").alias("bytes")), "digests")
     first = small.where(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("times"))
     each = small.select("page_id", "sha").distinct().join(first.where("times > 1").drop("times"), "sha")
-    pages_ = keyed.withColumn("key", F.coalesce("page_id", F.lit(0)))
+    # the window and the join below keep this partitioning
+    pages_ = keyed.withColumn("key", F.coalesce("page_id", F.lit(0))).repartition(parts, "key", "sha")
     each = each.withColumn("key", F.coalesce("page_id", F.lit(0))).withColumn("shared", F.lit(True)).withColumnRenamed("page_id", "same_page")
     numbered = pages_.withColumn("copy", F.row_number().over(Window.partitionBy("key", "sha").orderBy(F.col("page_id").asc_nulls_last(), "url")))
     joined = numbered.join(each.where("same_page is not null or first is null").select("key", "sha", "first", "shared"), ["key", "sha"], "left")
@@ -228,7 +229,7 @@ def archive(pages: DataFrame, at: str, least_bytes: int = 0) -> DataFrame:
     empty table gives an empty result. Extra columns are ignored.
     """
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    planned = plan(pages, least_bytes).repartition(blocks_for(total, FILE_BYTES, least=1), F.xxhash64("page_id", "copy"))
+    planned = plan(pages, least_bytes, blocks_for(total, FILE_BYTES, least=8))
     to_warc_text(planned).write.option("lineSep", "\r\n").option("compression", "gzip").text(at)
     return read_back(pages.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(at).select("content"))
 
