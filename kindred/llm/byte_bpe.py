@@ -8,19 +8,21 @@ Each match of the split pattern is encoded by itself; decoding maps pieces back
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kindred.llm.common import pick, table
+from kindred.llm.jaccard_join import by_size
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pre-tokens whose ids a worker keeps; beyond that it starts afresh.
 CACHE = 1 << 19
 
@@ -90,9 +92,9 @@ class ByteBpe:
         self.letters = dict(enumerate(byte_characters()))
         self.ids = [rank for rank, _ in ranks]
         self.whole = {token: rank for rank, token in ranks}
-        self.bytes_of = {str(rank): token for rank, token in ranks}
+        self.bytes_of = {rank: token for rank, token in ranks}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto([self.mapped(token) for _, token in ranks]))
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def mapped(self, token: bytes) -> str:
         return token.decode("latin-1").translate(self.letters)
@@ -107,24 +109,23 @@ class ByteBpe:
             if rank is None:
                 hard.append(t)
             else:
-                self.known[t] = str(rank)
+                self.known[t] = (rank,)
         for t, pieces in zip(hard, self.model.encode([self.mapped(t.encode()) for t in hard], num_threads=1)):
-            self.known[t] = ",".join([str(self.ids[p]) for p in pieces])
+            self.known[t] = tuple([self.ids[p] for p in pieces])
 
-    def encode(self, text: str) -> str:
-        """The ids, joined by commas."""
+    def encode(self, text: str) -> array:
         tokens = (self.split_ascii if text.isascii() else self.split).findall(text)
         try:
-            return ",".join([self.known[t] for t in tokens])
+            return array("i", chain.from_iterable(map(self.known.__getitem__, tokens)))
         except KeyError:
             self.learn({t for t in tokens if t not in self.known})
             missing = {t for t in tokens if t not in self.known}
             if missing:  # the cache was emptied for this text
                 self.learn(missing)
-            return ",".join([self.known[t] for t in tokens])
+            return array("i", chain.from_iterable(map(self.known.__getitem__, tokens)))
 
-    def decode(self, ids: str) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids.split(",")]) if ids else b""
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -132,25 +133,44 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def encode_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for each input row; a narrow pass without shuffles.
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id`` and ``ids`` (array<int>) of each row's text; a narrow pass without shuffles.
 
     A null text is an empty text: no ids. Repeated rows and null ids are rows like others, an empty table
     gives an empty result, extra columns are ignored.
     """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(path, pattern)
+        for whole in batches:
+            for batch in by_size(whole):
+                ids, ends = array("i"), [0]
+                for text in batch.column("text"):
+                    ids += bpe.encode(text.as_py() or "")
+                    ends.append(len(ids))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
+
+    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id``, ``ids`` and ``decoded``, the bytes that the ids stand for; null ids give no bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for text in batch.column("text"):
-                ids = bpe.encode(text.as_py() or "")
-                n.append(ids.count(",") + 1 if ids else 0)
-                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+            texts = [bpe.decode(x.values.to_pylist() if x.is_valid else ()) for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
+def encode_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row: its ids, and what they decode to."""
+    return decode(encode(docs, path, pattern), path, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
 def public_vocabulary() -> tuple[str, str]:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kindred.plans.scratch import shared_dir, spool  # noqa: F401
+
 #: What splits words: ASCII white space only, the same class everywhere in this package.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,29 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="kindred-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage, so that a lost executor costs a re-read and not a recomputation, and fixes
-    whatever was numbered while writing.
-    """
-    at = f"{shared_dir(df.sparkSession)}/kindred-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns can't clash with those an operator adds."""
     return docs.select(*[F.col(n) for n in names])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.common import mark, pick, spool, table, with_rows
-from kindred.llm.components import components
+from kindred.operators.cluster import connected_components as components
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)

@@ -20,7 +20,6 @@ share are dealt by their own leading bytes instead of the gram's.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,7 +182,7 @@ def find_anchors(docs: DataFrame, splitters: np.ndarray, length: int, gram: int)
 FOUND = "id long, mark long, start long, count long, anchor long, kind int"
 
 
-def sort_stretches(key: tuple, rows: pa.Table) -> pa.Table:
+def sort_stretches(rows: pa.Table, crowd: int) -> pa.Table:
     """Finds in a bucket the stretches that are repeated as a whole and the edges."""
     parts, base = [unpack(b.as_py(), *BLOB) for b in rows.column("blob")], 0
     local, extra_doc = [], []
@@ -205,8 +204,8 @@ def sort_stretches(key: tuple, rows: pa.Table) -> pa.Table:
     # one of each covered string stands for it where an edge shares its gram
     edges = np.bincount(group, edge, minlength=1)
     witness = covered & two & (edges[group] > 0)
-    crowd = np.bincount(group, edge | witness, minlength=1)[group] > CROWD
-    kind = np.where(edge, EDGE, COVERED) + WITNESS * witness + CROWDED * (crowd & (edge | witness))
+    crowded = np.bincount(group, edge | witness, minlength=1)[group] > crowd
+    kind = np.where(edge, EDGE, COVERED) + WITNESS * witness + CROWDED * (crowded & (edge | witness))
     own = covered & ~known | edge | witness
     pick_ = order[own]
     out_doc = np.concatenate([doc[pick_], extra_doc])
@@ -281,7 +280,7 @@ def multikey_quicksort(words: np.ndarray, at: np.ndarray, depth: int) -> tuple[n
 
 
 def sort_suffixes(length: int):
-    def solve(key: tuple, rows: pa.Table) -> pa.Table:
+    def solve(rows: pa.Table) -> pa.Table:
         segments = [s.as_py() for s in rows.column("segment")]
         ids, marks, start, known = (rows.column(c).to_numpy() for c in ("id", "mark", "start", "known"))
         size = np.array([len(s) for s in segments])
@@ -313,23 +312,26 @@ def cover(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            out = []
-            for doc_id, z, start, count in zip(b.column("doc_id").to_pylist(), b.column("z").to_pylist(), b.column("starts"), b.column("counts")):
-                text = unzip(z)
-                gone, spans, kept = 0, 0, text
+            sizes, kept, spans = [], [], []
+            for z, start, count in zip(b.column("z"), b.column("starts"), b.column("counts")):
+                text = unzip(z.as_py())
+                rest, runs = text, []
                 if start.is_valid and len(start.values):
                     s, c = start.values.to_numpy(), count.values.to_numpy()
                     change = np.zeros(len(text) + 1, np.int64)
                     np.add.at(change, s, 1)
                     np.add.at(change, s + c - 1 + length, -1)
-                    out_ = np.cumsum(change[:-1]) > 0
-                    gone, spans = int(out_.sum()), int(out_[0]) + int((out_[1:] & ~out_[:-1]).sum())
-                    kept = np.frombuffer(text, np.uint8)[~out_].tobytes()
-                out.append((doc_id, len(text), gone, spans, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    gone = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
+                    first, last = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(gone[:-1] & ~gone[1:])
+                    runs = [{"start": int(x), "bytes": int(y - x)} for x, y in zip(first, last)]
+                    rest = np.frombuffer(text, np.uint8)[~gone[1:-1]].tobytes()
+                sizes.append(len(text))
+                kept.append(rest)
+                spans.append(runs)
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["doc_id", "n_bytes", "kept", "spans"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,bytes:long>>")
 
 
 def zipped(docs: DataFrame) -> DataFrame:
@@ -359,19 +361,20 @@ def sample_leads(docs: DataFrame, rows: int, length: int, gram: int) -> np.ndarr
     return np.sort(np.array([r.lead for r in got], f"S{LEAD}"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each input row.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """``doc_id, n_bytes, kept, spans`` for each input row: the bytes that stay, and the runs that go.
 
     A null text is an empty text; texts shorter than ``length`` bytes lose nothing. Repeated rows are documents of
     their own and so cover each other. Rows with null ids are handled like others. An empty table gives an empty
-    result. Extra columns are ignored. ``gram`` only sets how many anchors there are, not the result.
+    result. Extra columns are ignored. ``gram`` only sets how many anchors there are and
+    ``crowd`` which of them are dealt by window, not the result.
     """
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("doc_id", "text").alias("mark"), text_of().alias("t"))
     many, total = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
     buckets = blocks_for(total or 0, BUCKET, least=12, most=1 << 17)
     leads = sample_leads(rows, many, length, gram)
     splitters = np.unique(leads[[k * len(leads) // buckets for k in range(1, buckets)]]) if len(leads) else np.zeros(0, f"S{LEAD}")
-    found = spool(find_anchors(rows, splitters, length, gram).groupBy("bucket").applyInArrow(sort_stretches, FOUND), "stretches")
+    found = spool(find_anchors(rows, splitters, length, gram).groupBy("bucket").applyInArrow(lambda rows: sort_stretches(rows, crowd), FOUND), "stretches")
     text = zipped(rows)
     marked = found.where("kind > 0").groupBy("id", "mark").agg(F.collect_list(F.struct("start", "count", "anchor", "kind")).alias("found"))
     edges = cut_edges(text.join(marked, ["id", "mark"]).select("id", "mark", "z", "found"), splitters, length)
@@ -381,5 +384,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return cover(text.join(spans, ["id", "mark"], "left").select("doc_id", "z", "starts", "counts"), length)
 
 
+def digests(cleaned: DataFrame) -> DataFrame:
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["bytes"])
+    return cleaned.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return digests(remove_repeats(table(spark, sf_dir, "documents")))
