@@ -109,10 +109,11 @@ def read_arc(data: bytes) -> Iterator[Record]:
         yield Record(x["URL"], x["IP-address"], date, x["Content-type"], payload)
 
 
-def record_id(page_id: int | None, nth: int) -> str:
-    """A UUID that carries the page's number, and which copy of it this is."""
+def record_id(page_id: int | None, nth: int, payload: bytes = b"") -> str:
+    """A UUID that carries the page's number, which copy of it this is, and some bits of the payload's digest."""
+    tag = int.from_bytes(hashlib.sha1(payload).digest()[:4], "big") >> 4
     sign = 2 if page_id is None else int(page_id < 0)
-    return str(uuid.UUID(int=(8 << 76) | (2 << 62) | (nth & 0xFFFFF) << 80 | sign << 70 | abs(page_id or 0) & ((1 << 62) - 1) | (abs(page_id or 0) >> 62) << 68))
+    return str(uuid.UUID(int=(8 << 76) | (2 << 62) | tag << 100 | (nth & 0xFFFFF) << 80 | sign << 70 | abs(page_id or 0) & ((1 << 62) - 1) | (abs(page_id or 0) >> 62) << 68))
 
 
 def page_of(record: str) -> int | None:
@@ -170,16 +171,17 @@ def plan(pages: DataFrame, least_bytes: int, parts: int) -> DataFrame:
 
     Digests alone decide; pages move once, by page, so that a payload that a third of them share isn't gathered.
     """
-    body = F.coalesce("html", F.lit(""))
-    keyed = pick(pages, "page_id", "url", "html").withColumn("html", body).withColumn("sha", F.unhex(F.sha2("html", 256)))
-    small = spool(keyed.select("page_id", "sha", F.octet_length("html").alias("bytes")), "digests")
+    body = pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("sha", F.unhex(F.sha2("html", 256)))
+    small = spool(body.select("page_id", "sha", F.octet_length("html").alias("bytes")), "digests")
     first = small.where(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("times"))
-    each = small.select("page_id", "sha").distinct().join(first.where("times > 1").drop("times"), "sha")
+    # null ids are told from 0 by a column of their own
+    keys = ["key", "none", "sha"]
+    keyed = lambda df: df.withColumn("key", F.coalesce("page_id", F.lit(0))).withColumn("none", F.col("page_id").isNull())
+    each = keyed(small.select("page_id", "sha").distinct().join(first.where("times > 1").drop("times"), "sha")).select(*keys, "first", F.lit(True).alias("shared"))
     # the window and the join below keep this partitioning
-    pages_ = keyed.withColumn("key", F.coalesce("page_id", F.lit(0))).repartition(parts, "key", "sha")
-    each = each.withColumn("key", F.coalesce("page_id", F.lit(0))).withColumn("shared", F.lit(True)).withColumnRenamed("page_id", "same_page")
-    numbered = pages_.withColumn("copy", F.row_number().over(Window.partitionBy("key", "sha").orderBy(F.col("page_id").asc_nulls_last(), "url")))
-    joined = numbered.join(each.where("same_page is not null or first is null").select("key", "sha", "first", "shared"), ["key", "sha"], "left")
+    whole = keyed(body).repartition(parts, *keys)
+    numbered = whole.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("url")))
+    joined = numbered.join(each, keys, "left")
     is_first = (F.col("copy") == 1) & F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "html", "copy", (F.coalesce("shared", F.lit(False)) & ~is_first).alias("revisit"), "first")
 
@@ -193,9 +195,9 @@ def to_warc_text(planned: DataFrame) -> DataFrame:
             rows = b.to_pylist()
             arc = write_arc([Record(r["url"], "0.0.0.0", date, "text/html", r["html"].encode("utf-8", "replace")) for r in rows], 1 + n % 2)
 
-            def identify(k: int, _: Record) -> tuple[str, str | None]:
+            def identify(k: int, x: Record) -> tuple[str, str | None]:
                 r = rows[k]  # noqa: B023
-                return record_id(r["page_id"], r["copy"]), record_id(r["first"], 1) if r["revisit"] else None
+                return record_id(r["page_id"], r["copy"], x.payload), record_id(r["first"], 1, x.payload) if r["revisit"] else None
 
             yield pa.RecordBatch.from_arrays([pa.array([w[:-2].decode("utf-8") for w in convert(arc, identify)], pa.string())], ["value"])
 

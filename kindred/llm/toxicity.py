@@ -275,10 +275,12 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 6,
         neg = np.unique(np.concatenate([hard, r.choice(neg_at, min(len(neg_at), negatives - len(hard)), replace=False)]))
         both = r.permutation(np.concatenate([pos, neg]))
         share = np.where(positive[both], 2.0, 1.0)
-        for k in range(0, len(both), batch):
-            b = both[k : k + batch]
+        # small corpora need small steps to have enough of them
+        size = max(16, min(batch, len(both) // 40))
+        for k in range(0, len(both), size):
+            b = both[k : k + size]
             opt.rate = 0.01 * (0.5 if epoch >= epochs - 2 else 1.0)
-            grads, _ = net.gradients(words, rows[b], positive[b].astype(np.float32), share[k : k + batch].astype(np.float32))
+            grads, _ = net.gradients(words, rows[b], positive[b].astype(np.float32), share[k : k + size].astype(np.float32))
             for name, keep in common.items():
                 at, g = grads[name]
                 grads[name] = at[keep[at]], g[keep[at]]
