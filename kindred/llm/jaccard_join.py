@@ -81,7 +81,7 @@ def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[first], np.bincount(text[first], minlength=len(texts))
 
 
-def by_size(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def by_size(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes of text."""
     size = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(column).cast(pa.large_string())], np.int64)
     part = np.cumsum(size) // most

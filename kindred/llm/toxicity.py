@@ -25,7 +25,7 @@ WORDS = GRAMS = 1 << TABLE_BITS
 RARE = 4
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: Words of text that are turned into numbers at a time, and windows that go through the network at a time.
-PIECE, BATCH = 1 << 19, 4096
+PIECE, BATCH = 1 << 17, 4096
 
 IS_LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 BASE = np.uint64(0x9E3779B97F4A7C15)
