@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kindred.llm.common import blocks_for, pick, shared_dir, spool, table
+from kindred.llm.jaccard_join import by_size
 
 #: Fixed values of the formats.
 ARC_FIELDS = {
@@ -191,7 +192,7 @@ def to_warc_text(planned: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         date = datetime(1999, 12, 31, 23, 59, 59, tzinfo=timezone.utc)
-        for n, b in enumerate(batches):
+        for n, b in enumerate(x for whole in batches for x in by_size(whole, "html")):
             rows = b.to_pylist()
             arc = write_arc([Record(r["url"], "0.0.0.0", date, "text/html", r["html"].encode("utf-8", "replace")) for r in rows], 1 + n % 2)
 
@@ -208,9 +209,9 @@ def read_back(files: DataFrame) -> DataFrame:
     """A row for each record of gzipped WARC files (``content``); a response whose payload has another digest than its header is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for content in (c for b in batches for c in b.column("content")):
             out = []
-            for content in b.column("content"):
+            if content.is_valid:
                 for head, block in read_warc(gzip.decompress(content.as_py())):
                     sha, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
                     if kind == "response" and digest(block) != sha:
