@@ -8,6 +8,7 @@ Each match of the split pattern is encoded by itself; decoding maps pieces back
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -18,7 +19,6 @@ from itertools import chain
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kindred.llm.common import pick, table
 from kindred.llm.jaccard_join import by_size
@@ -92,7 +92,8 @@ class ByteBpe:
         self.letters = dict(enumerate(byte_characters()))
         self.ids = [rank for rank, _ in ranks]
         self.whole = {token: rank for rank, token in ranks}
-        self.bytes_of = {rank: token for rank, token in ranks}
+        self.bytes_of = dict(ranks)
+        self.names = {rank: str(rank) for rank, _ in ranks}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto([self.mapped(token) for _, token in ranks]))
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -133,44 +134,63 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """``doc_id, ids`` of batches of ``doc_id, text``."""
+    bpe = codec(path, pattern)
+    for whole in batches:
+        for batch in by_size(whole):
+            ids, ends = array("i"), [0]
+            for text in batch.column("text"):
+                ids += bpe.encode(text.as_py() or "")
+                ends.append(len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
+
+
+def lists_of(ids: pa.Array) -> Iterator[list[int]]:
+    """Each row's ids as a list; none for null."""
+    for x in ids:
+        yield x.values.to_numpy().tolist() if x.is_valid else []
+
+
+def decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """``doc_id, ids, decoded`` of batches of ``doc_id, ids``."""
+    bpe = codec(path, pattern)
+    for batch in batches:
+        texts = pa.array([bpe.decode(ids) for ids in lists_of(batch.column("ids"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), texts], ["doc_id", "ids", "decoded"])
+
+
+def digested(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of batches of ``doc_id, ids, decoded``."""
+    names = codec(path, pattern).names
+    for batch in batches:
+        n, ids_sha = [], []
+        for ids in lists_of(batch.column("ids")):
+            n.append(len(ids))
+            ids_sha.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+        text_sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``ids`` (array<int>) of each row's text; a narrow pass without shuffles.
 
     A null text is an empty text: no ids. Repeated rows and null ids are rows like others, an empty table
     gives an empty result, extra columns are ignored.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
-        for whole in batches:
-            for batch in by_size(whole):
-                ids, ends = array("i"), [0]
-                for text in batch.column("text"):
-                    ids += bpe.encode(text.as_py() or "")
-                    ends.append(len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
-
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return pick(docs, "doc_id", "text").mapInArrow(lambda b: encoded(b, path, pattern), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id``, ``ids`` and ``decoded``, the bytes that the ids stand for; null ids give no bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
-        for batch in batches:
-            texts = [bpe.decode(x.values.to_pylist() if x.is_valid else ()) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
-
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return tokens.select("doc_id", "ids").mapInArrow(lambda b: decoded(b, path, pattern), "doc_id long, ids array<int>, decoded binary")
 
 
 def encode_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row: its ids, and what they decode to."""
-    return decode(encode(docs, path, pattern), path, pattern).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: what ``encode`` and then ``decode`` give, digested in the same pass."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return pick(docs, "doc_id", "text").mapInArrow(lambda b: digested(decoded(encoded(b, path, pattern), path, pattern), path, pattern), schema)
 
 
 def public_vocabulary() -> tuple[str, str]:

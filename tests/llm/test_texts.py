@@ -93,6 +93,15 @@ def test_bpe_digests(docs, awkward, encoding):
     assert Counter(tuple(r) for r in byte_bpe.encode_digest(docs, path, pattern).collect()) == want
 
 
+def test_ids_and_bytes_as_tables(docs, awkward, encoding):
+    path, pattern = byte_bpe.public_vocabulary()
+    tokens = byte_bpe.encode(docs, path, pattern)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in tokens.collect()) == Counter((i, tuple(encoding.encode_ordinary(t or ""))) for i, t, *_ in awkward)
+    nothing = tokens.limit(1).withColumn("ids", F.lit(None).cast("array<int>"))
+    assert byte_bpe.decode(nothing, path, pattern).first().decoded == b""
+    assert Counter(bytes(r.decoded) for r in byte_bpe.decode(tokens, path, pattern).collect()) == Counter((t or "").encode() for _, t, *_ in awkward)
+
+
 def test_bpe_of_nothing(no_docs):
     assert byte_bpe.encode_digest(no_docs, *byte_bpe.public_vocabulary()).collect() == []
 
