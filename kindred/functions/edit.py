@@ -62,7 +62,8 @@ def levenshtein_bytes_bounded(a: Column, b: Column, max_distance: int) -> Column
 
 def levenshtein_bytes_similarity(a: Column, b: Column) -> Column:
     """Byte distance over the number of characters, kept in [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), per_length(levenshtein_bytes(a, b), a, b)))
+    s = per_length(levenshtein_bytes(a, b), a, b)
+    return F.when(s < 0, F.lit(0.0)).otherwise(s)
 
 
 def clusters(s: Column) -> Column:
@@ -85,11 +86,15 @@ def levenshtein_similarity_grapheme(a: Column, b: Column) -> Column:
     return per_length(levenshtein_grapheme(a, b), a, b, lambda s: F.size(clusters(s)))
 
 
+def capped(d: Column, most: int | None) -> Column:
+    """``most + 1`` for what is over ``most``; null stays null."""
+    return d if most is None else F.when(d > check_distance(most), F.lit(most + 1)).otherwise(d)
+
+
 def damerau_levenshtein(a: Column, b: Column, max_distance: int | None = None, normalize: str | None = None) -> Column:
     """Unrestricted; over ``max_distance`` the result is ``max_distance + 1``."""
     a, b = normalize_pair(a, b, normalize)
-    d = text_udf(kernels.damerau, "int")(a, b)
-    return d if max_distance is None else F.least(d, F.lit(check_distance(max_distance) + 1))
+    return capped(text_udf(kernels.damerau, "int")(a, b), max_distance)
 
 
 def damerau_levenshtein_bounded(a: Column, b: Column, max_distance: int, normalize: str | None = None) -> Column:
@@ -104,8 +109,7 @@ def damerau_levenshtein_similarity(a: Column, b: Column, normalize: str | None =
 
 def optimal_string_alignment(a: Column, b: Column, max_distance: int | None = None, normalize: str | None = None) -> Column:
     a, b = normalize_pair(a, b, normalize)
-    d = text_udf(kernels.osa, "int")(a, b)
-    return d if max_distance is None else F.least(d, F.lit(check_distance(max_distance) + 1))
+    return capped(text_udf(kernels.osa, "int")(a, b), max_distance)
 
 
 def optimal_string_alignment_similarity(a: Column, b: Column, normalize: str | None = None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -20,19 +22,25 @@ KERNELS = {
 }
 
 
-def register(spark: SparkSession) -> list[str]:
-    """Makes the kernels callable from ``spark.sql``; returns their names."""
-    for name, (kernel, returns) in KERNELS.items():
+def pairs(kernel: Callable) -> Callable:
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else kernel(x, y) for x, y in zip(a, b)], dtype=object)
+
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return run
 
-        def run(a: pd.Series, b: pd.Series, kernel=kernel) -> pd.Series:
-            return pd.Series([None if x is None or y is None else kernel(x, y) for x, y in zip(a, b)], dtype=object)
 
-        run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-        spark.udf.register(name, F.pandas_udf(run, returns))
+def singles(kernel: Callable) -> Callable:
+    def run(a: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else kernel(x) for x in a], dtype=object)
 
-    def code(a: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else sounds.metaphone(x) for x in a], dtype=object)
+    run.__annotations__ = {"a": pd.Series, "return": pd.Series}
+    return run
 
-    code.__annotations__ = {"a": pd.Series, "return": pd.Series}
-    spark.udf.register("metaphone", F.pandas_udf(code, "string"))
+
+def register(spark: SparkSession) -> list[str]:
+    """Makes the kernels callable from ``spark.sql``; returns their names."""
+    for name, (kernel, returns) in KERNELS.items():
+        spark.udf.register(name, F.pandas_udf(pairs(kernel), returns))
+    spark.udf.register("metaphone", F.pandas_udf(singles(sounds.metaphone), "string"))
     return [*KERNELS, "metaphone"]
