@@ -245,8 +245,11 @@ def cut_edges(rows: DataFrame, splitters: np.ndarray, length: int) -> DataFrame:
                 out += [(window[:LEAD], b"", *w) for w in where[1:]]
             lead = np.array([o[0] for o in out], f"S{LEAD}") if out else np.zeros(0, f"S{LEAD}")
             bucket = np.searchsorted(splitters, lead, side="right").astype(np.int32)
+            # what is known already needs no neighbours, so it's spread evenly
+            bare = np.array([not o[1] for o in out], bool)
+            bucket[bare] = np.arange(int(bare.sum())) % (len(splitters) + 1)
             cols = list(zip(*(o[1:] for o in out))) or [()] * 4
-            multiple = [len(crowded.get(o[1], ())) > 1 or not o[1] for o in out]
+            multiple = (bare | np.array([len(crowded.get(o[1], ())) > 1 for o in out], bool)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:]), pa.array(multiple, pa.bool_())], ["bucket", "segment", "id", "mark", "start", "known"])
 
     return rows.mapInArrow(run, "bucket int, segment binary, id long, mark long, start long, known boolean")
