@@ -21,6 +21,10 @@ from kindred.functions.ngrams import extract_ngrams
 from kindred.functions.registry import Algorithm, Scorer, lengths_allow, resolve, scorer
 
 
+#: Up to so many distinct values on both sides are compared outright.
+FEW, FEW_BYTES = 5000, 4 << 20
+
+
 @dataclass(frozen=True)
 class Field:
     """A pair of columns that are compared, how, and with what weight."""
@@ -97,19 +101,41 @@ def by_prefixes(left: DataFrame, right: DataFrame, field: Field, least: float) -
     return heads.select("lv", "rv").unionByName(left_short.select("lv", "rv")).unionByName(right_short.select("lv", "rv")).distinct()
 
 
+def few(values: DataFrame, column: str) -> bool:
+    """Whether there are at most FEW values of at most FEW_BYTES; stops counting beyond that."""
+    n, size = values.limit(FEW + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(column))).first()
+    return n <= FEW and (size or 0) <= FEW_BYTES
+
+
+def score_within(field: Field, least: float) -> Column:
+    """The score of ``lv`` and ``rv``; Levenshtein stops at the distance that ``least`` allows, and is then null."""
+    if field.name == "levenshtein" and least > 0:
+        longest = F.greatest(F.length("lv"), F.length("rv"))
+        d = F.expr(f"levenshtein(lv, rv, cast(floor((1 - {least!r}D) * greatest(length(lv), length(rv)) + 1e-9D) as int))")
+        return F.when(longest == 0, F.lit(1.0)).when(d >= 0, 1.0 - d / longest)
+    return field.score(F.col("lv"), F.col("rv"))
+
+
 def value_scores(left: DataFrame, right: DataFrame, field: Field, least: float, gated: bool = True) -> DataFrame:
-    """``lv, rv, s`` of distinct candidate values with a similarity of at least ``least``."""
+    """``lv, rv, s`` of distinct candidate values with a similarity of at least ``least``.
+
+    Few values on both sides are compared by a nested loop, the right side in memory; the result is the same.
+    """
+    cheap = lengths_allow(field.algorithm, least, F.col("lv"), F.col("rv")) if field.gate and least > 0 else None
+    close = F.lit(True) if cheap is None else cheap
     if not gated:
-        pairs = left.join(right)
+        pairs = left.join(right, close)
+    elif few(left, "lv") and few(right, "rv"):
+        x, y = left.withColumn("lg", field.grams(F.col("lv"))), right.withColumn("rg", field.grams(F.col("rv")))
+        # so few values would end in one task
+        x = x.repartition(left.sparkSession.sparkContext.defaultParallelism, "lv")
+        # the size has just been checked
+        pairs = x.join(F.broadcast(y), close & F.arrays_overlap("lg", "rg")).select("lv", "rv")
     elif field.name == "levenshtein" and least >= 0.5:
-        pairs = by_prefixes(left, right, field, least)
+        pairs = by_prefixes(left, right, field, least).where(close)
     else:
-        pairs = by_grams(left, right, field)
-    if field.gate and least > 0:
-        cheap = lengths_allow(field.algorithm, least, F.col("lv"), F.col("rv"))
-        if cheap is not None:
-            pairs = pairs.where(cheap)
-    scored = pairs.withColumn("s", field.score(F.col("lv"), F.col("rv")))
+        pairs = by_grams(left, right, field).where(close)
+    scored = pairs.withColumn("s", score_within(field, least))
     return scored.where(F.col("s") >= least) if least > 0 else scored.where(F.col("s").isNotNull())
 
 

@@ -9,6 +9,7 @@ import sys
 import pytest
 
 from kindred.errors import ValidationError
+from kindred.plans import similarity_join
 from kindred.plans.queries import ORACLE, QUERIES
 from kindred.sources.tables import read_records, write_matches
 from kindred.streaming.lookup import fuzzy_lookup
@@ -34,6 +35,16 @@ def plain(rows, columns):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_agrees_with_its_sql(spark, duck, name):
+    agrees(spark, duck, name)
+
+
+@pytest.mark.parametrize("name", ["dedupe_full", "fuzzy_join_left", "fuzzy_join_multi", "match_pairs", "schema_search_minmax", "token_set_search"])
+def test_query_agrees_with_its_sql_where_values_are_many(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(similarity_join, "FEW", 0)
+    agrees(spark, duck, name)
+
+
+def agrees(spark, duck, name):
     got = QUERIES[name](spark, DATA)
     found = duck.sql(ORACLE[name])
     assert sorted(got.columns) == sorted(found.columns)

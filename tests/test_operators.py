@@ -58,9 +58,11 @@ def test_join_demo(spark):
     assert fuzzy_join(left, right, on="text", min_similarity=0.999).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 5000])
 @pytest.mark.parametrize("t", [0.5, 0.7, 0.8, 0.9])
-def test_levenshtein_join_is_the_nested_loop(spark, t):
+def test_levenshtein_join_is_the_nested_loop(spark, monkeypatch, t, few):
     """The prefix filter loses no pair and adds none."""
+    monkeypatch.setattr(similarity_join, "FEW", few)
     word = lambda: "".join(rng.choice("aabbcd") for _ in range(rng.randint(0, 11)))
     a, b = [word() for _ in range(120)], [word() for _ in range(120)]
     got = {(r.lid, r.rid) for r in similarity_join.pair_scores(strings(spark, a).withColumnRenamed("id", "lid"), strings(spark, b).withColumnRenamed("id", "rid"), [similarity_join.Field("text", "text", "levenshtein")], t).collect()}
