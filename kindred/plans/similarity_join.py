@@ -128,9 +128,11 @@ def value_scores(left: DataFrame, right: DataFrame, field: Field, least: float,
     elif few(left, "lv") and few(right, "rv"):
         x, y = left.withColumn("lg", field.grams(F.col("lv"))), right.withColumn("rg", field.grams(F.col("rv")))
         # so few values would end in one task
-        x = x.repartition(left.sparkSession.sparkContext.defaultParallelism, "lv")
+        x = x.repartition(left.sparkSession.sparkContext.defaultParallelism)
+        # a bounded Levenshtein distance is cheaper than comparing the grams, other scores aren't
+        first = score_within(field, least) >= least if field.name == "levenshtein" and least > 0 else F.lit(True)
         # the size has just been checked
-        pairs = x.join(F.broadcast(y), close & F.arrays_overlap("lg", "rg")).select("lv", "rv")
+        pairs = x.join(F.broadcast(y), close & first & F.arrays_overlap("lg", "rg")).select("lv", "rv")
     elif field.name == "levenshtein" and least >= 0.5:
         pairs = by_prefixes(left, right, field, least).where(close)
     else:
