@@ -32,7 +32,7 @@ from kindred.llm.common import blocks_for, pick, spool, table, text_of
 from kindred.llm.jaccard_join import by_size, mix
 
 LENGTH, GRAM, LEAD = 200, 100, 16
-SLICE, BATCH, BUCKET = 1 << 20, 16 << 20, 32 << 20
+SLICE, BATCH, BUCKET = 1 << 20, 16 << 20, 16 << 20
 SAMPLE_DOCS, SAMPLE_LEADS = 2000, 50_000
 #: Edges that share a gram, beyond which their windows are dealt by themselves.
 CROWD = 4096
