@@ -262,10 +262,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 6,
     neg_at = np.flatnonzero(~positive)
     for epoch in range(epochs):
         if epoch:
-            gates = net.projected(net.inputs(words))
             look = np.flatnonzero(positive) if epoch < 3 else np.arange(len(rows))
-            suspect[look] = np.concatenate([net.forward(gates, rows[look[k : k + BATCH]]) for k in range(0, len(look), BATCH)])
-            del gates
+            for k in range(0, len(look), 4 * BATCH):
+                part = look[k : k + 4 * BATCH]
+                # only the words of these windows, so that memory doesn't grow with the corpus's vocabulary
+                used, local = np.unique(rows[part], return_inverse=True)
+                local = local.reshape(-1, WINDOW) - int(used[0] < 0)
+                gates = net.projected(net.inputs(words_at(words, used[used >= 0])))
+                suspect[part] = np.concatenate([net.forward(gates, local[j : j + BATCH]) for j in range(0, len(part), BATCH)])
         order = np.lexsort((-suspect, text))
         rank = np.empty(len(rows), np.int64)
         rank[order] = np.arange(len(rows)) - np.searchsorted(text, text[order])
