@@ -1,6 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
-Each word enters as a hashed word vector next to the mean of its hashed character 4-gram vectors. Windows of
+Each word enters as a hashed word vector next to the mean of its hashed character 4-gram vectors. Words end at
+white space and punctuation of any script; long ones are read in pieces that overlap, too. Windows of
 32 words that overlap by half are scored one by one; a document's score is that of its worst window, so length
 doesn't dilute it. Only document labels are known, so training picks the windows of toxic documents that look
 worst so far (first by log-odds, then by the network) and learns from those.
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,10 @@ from kindred.llm.common import pick, table
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH = 8, 8
-TABLE_BITS, LETTERS = 18, 18
+TABLE_BITS = 18
+#: A run of over PART bytes without a break is read in pieces of PART bytes that begin every STEP bytes, and
+#: before them as a whole if it has at most LONG bytes.
+LONG, PART, STEP = 64, 16, 8
 WORDS = GRAMS = 1 << TABLE_BITS
 #: Texts in which a feature must occur for training to use it.
 RARE = 4
@@ -27,43 +32,68 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: Words of text that are turned into numbers at a time, and windows that go through the network at a time.
 PIECE, BATCH = 1 << 17, 4096
 
+#: What ends words besides the ASCII characters that aren't letters or digits.
+BREAK = regex.compile(r"(?V1)[[\p{P}\p{White_Space}\u200B\uFEFF]--[\x00-\x7F]]")
 IS_LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` successive places from each of ``begin``."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 class Words:
-    """The words of some texts: ``of`` (which distinct word each is), ``text`` (whose word it is), and the distinct words' features."""
+    """The words of some texts: ``of`` (which distinct word each is), ``text`` (whose word it is), and the distinct words' features.
+
+    ``grams`` has the 4-grams of one distinct word after another, ``count`` how many each has.
+    """
 
     def __init__(self, texts: list[str]):
-        raw = [t.lower().encode("utf-8", "replace") for t in texts]
+        raw = [(t if t.isascii() else BREAK.sub(" ", t)).lower().encode("utf-8", "replace") for t in texts]
         buf = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
         ends_of = np.cumsum([len(r) + 1 for r in raw])
         letter = IS_LETTER[buf]
         edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
-        start, end = edge[0::2], edge[1::2]
+        start, size = edge[0::2], edge[1::2] - edge[0::2]
+        whole = size <= LONG
+        many = np.where(size > PART, -(-(size - PART) // STEP) + 1, 0) + whole
+        run = np.repeat(np.arange(len(start)), many)
+        nth = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many) - whole[run]
+        skip = np.maximum(nth, 0) * STEP
+        start, size = start[run] + skip, np.where(nth < 0, size[run], np.minimum(PART, size[run] - skip))
         self.text = np.searchsorted(ends_of, start, side="right")
-        size = np.minimum(end - start, LETTERS - 2)
-        cells = np.zeros((LETTERS - 2, len(start)), np.uint8)
         key = np.zeros(len(start), np.uint64)
         with np.errstate(over="ignore"):
-            for k in range(LETTERS - 2):
-                cells[k] = np.where(k < size, buf[np.minimum(start + k, len(buf) - 1)], 0)
-                key = key * BASE + cells[k] + np.uint64(1)
+            k, live = 0, np.arange(len(start))
+            while len(live):
+                key[live] = key[live] * BASE + buf[start[live] + k] + np.uint64(1)
+                k += 1
+                live = live[size[live] > k]
             key ^= key >> np.uint64(29)
             _, first, of = np.unique(key, return_index=True, return_inverse=True)
             self.of = of.astype(np.int32)
             self.word = (key[first] * BASE >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
-            # the first letters, framed by 1 and 2, in fours
+            # all letters, framed by 1 and 2, in fours
             n = size[first]
-            framed = np.zeros((LETTERS + 3, len(first)), np.uint8)
-            framed[0] = 1
-            framed[1 : LETTERS - 1] = cells[:, first]
-            framed[n + 1, np.arange(len(first))] = 2
-            self.grams = np.empty((len(first), LETTERS - 1), np.int32)
-            for k in range(LETTERS - 1):
-                mixed = sum(framed[k + j].astype(np.uint64) * np.uint64(pow(0x2545F4914F6CDD1D, j + 1, 1 << 64)) for j in range(4))
-                self.grams[:, k] = ((mixed ^ mixed >> np.uint64(31)) * BASE) >> np.uint64(64 - TABLE_BITS)
-        self.has = np.arange(LETTERS - 1) < np.maximum(n - 1, 1)[:, None]
+            wide = np.maximum(n + 2, 4)
+            frame = np.cumsum(wide) - wide
+            framed = np.zeros(wide.sum(), np.uint8)
+            framed[frame] = 1
+            framed[spread(frame + 1, n)] = buf[spread(start[first], n)]
+            framed[frame + n + 1] = 2
+            self.count = np.maximum(n - 1, 1)
+            at = spread(frame, self.count)
+            mixed = sum(framed[at + j].astype(np.uint64) * np.uint64(pow(0x2545F4914F6CDD1D, j + 1, 1 << 64)) for j in range(4))
+            self.grams = (((mixed ^ mixed >> np.uint64(31)) * BASE) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
+
+    def begins(self) -> np.ndarray:
+        """Where each distinct word's 4-grams begin."""
+        return np.cumsum(self.count) - self.count
+
+    def owners(self) -> np.ndarray:
+        """The distinct word that each 4-gram belongs to."""
+        return np.repeat(np.arange(len(self.count)), self.count)
 
     def windows(self, count: int) -> tuple[np.ndarray, np.ndarray]:
         """A row of word numbers (-1: none) for each window, and the text of each."""
@@ -83,7 +113,7 @@ def texts_by_words(texts: list[str]) -> Iterator[list[str]]:
     run, size = [], 0
     for t in texts:
         run.append(t)
-        size += len(t) // 6
+        size += len(t) // (6 if t.isascii() else 2)
         if size >= PIECE:
             yield run
             run, size = [], 0
@@ -109,10 +139,12 @@ class Network:
 
     def inputs(self, words: Words) -> np.ndarray:
         total = np.zeros((len(words.word), WIDTH), np.float32)
-        for j in range(words.grams.shape[1]):
-            rows = np.flatnonzero(words.has[:, j])
-            total[rows] += self.p["gram"][words.grams[rows, j]]
-        return np.concatenate([self.p["word"][words.word], total / np.maximum(1, words.has.sum(1, keepdims=True)).astype(np.float32)], 1)
+        begin, j, rows = words.begins(), 0, np.arange(len(words.word))
+        while len(rows):
+            total[rows] += self.p["gram"][words.grams[begin[rows] + j]]
+            j += 1
+            rows = rows[words.count[rows] > j]
+        return np.concatenate([self.p["word"][words.word], total / words.count[:, None].astype(np.float32)], 1)
 
     def projected(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """What each word adds to the gates; a last row of zeros stands for no word."""
@@ -195,15 +227,16 @@ class Network:
             g |= {f"u{d}": gu, f"w{d}": x.T @ dg, f"c{d}": dg.sum(0)}
             dx += dg @ self.p[f"w{d}"].T
         g["word"] = (sub.word, dx[:, :WIDTH])
-        at, col = np.nonzero(sub.has)
-        g["gram"] = (sub.grams[at, col], dx[at, WIDTH:] / sub.has.sum(1)[at][:, None])
+        at = sub.owners()
+        g["gram"] = (sub.grams, dx[at, WIDTH:] / sub.count[at][:, None])
         eps = 1e-7
         return g, float(-(weight * (y * np.log(p + eps) + (1 - y) * np.log(1 - p + eps))).sum() / weight.sum())
 
 
 def words_at(words: Words, at: np.ndarray) -> Words:
     sub = object.__new__(Words)
-    sub.word, sub.grams, sub.has = words.word[at], words.grams[at], words.has[at]
+    sub.word, sub.count = words.word[at], words.count[at]
+    sub.grams = words.grams[spread(words.begins()[at], sub.count)]
     return sub
 
 
@@ -240,22 +273,19 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 6,
     # log-odds of the features over words of texts, to find the telling windows of toxic texts at first
     pair = np.unique(words.text.astype(np.int64) * len(words.word) + words.of)
     toxic, pair = labels[pair // len(words.word)], pair % len(words.word)
+    tally = [np.bincount(pair[toxic == y], minlength=len(words.word)) for y in (False, True)]
+    owner = words.owners()
 
-    def odds(columns: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
-        count = np.zeros((2, size))
-        for feature, on in columns:
-            for y in (0, 1):
-                at = pair[toxic == y]
-                count[y] += np.bincount(feature[at[on[at]]], minlength=size)
-        return np.log((count[1] + 0.1) / (labels.sum() + 1)) - np.log((count[0] + 1.0) / ((~labels).sum() + 1))
+    def odds(feature: np.ndarray, of: np.ndarray | slice, size: int) -> np.ndarray:
+        clean, bad = (np.bincount(feature, t[of], minlength=size) for t in tally)
+        return np.log((bad + 0.1) / (labels.sum() + 1)) - np.log((clean + 1.0) / ((~labels).sum() + 1))
 
     # a feature of few texts would only be learnt by heart
-    common = {"word": np.bincount(words.word[pair], minlength=WORDS) >= RARE, "gram": sum(np.bincount(words.grams[pair[words.has[pair, k]], k], minlength=GRAMS) for k in range(words.has.shape[1])) >= RARE}
-    by_word = odds([(words.word, np.ones(len(words.word), bool))], WORDS)[words.word]
-    of_gram = odds([(words.grams[:, k], words.has[:, k]) for k in range(words.has.shape[1])], GRAMS)
-    by_gram = np.full(len(words.word), -9.0)
-    for k in range(words.has.shape[1]):
-        by_gram = np.maximum(by_gram, np.where(words.has[:, k], of_gram[words.grams[:, k]], -9.0))
+    both = tally[0] + tally[1]
+    common = {"word": np.bincount(words.word, both, minlength=WORDS) >= RARE, "gram": np.bincount(words.grams, both[owner], minlength=GRAMS) >= RARE}
+    by_word = odds(words.word, slice(None), WORDS)[words.word]
+    of_gram = odds(words.grams, owner, GRAMS)
+    by_gram = np.maximum(np.maximum.reduceat(of_gram[words.grams], words.begins()), -9.0) if len(owner) else np.zeros(0)
     of_word = np.append(np.maximum(by_word, by_gram), -9.0)
     suspect = np.concatenate([of_word[rows[k : k + BATCH]].max(1) for k in range(0, len(rows), BATCH)])
     opt = Adam(net.p, 0.01)

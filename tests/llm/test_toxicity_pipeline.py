@@ -146,3 +146,51 @@ def test_stages_on_nothing(spark, tmp_path, no_docs):
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, str(tmp_path)).collect() == []
+
+
+def test_long_runs_are_read_whole():
+    head = "anbacedoerfigohaanba"
+    for end in ("x", "y", "xy" * 40):
+        words_ = toxicity.Words([head + "q" + end, head + "r" + end])
+        assert set(words_.of[words_.text == 0]) != set(words_.of[words_.text == 1])
+    letters = "".join(chr(0x4E00 + k) for k in range(400))
+    for n in range(1, 400, 7):
+        # pieces overlap and leave no byte out: each 4-gram of bytes within the run is in one of them
+        words_ = toxicity.Words([letters[:n], *(letters[k : k + 2] for k in range(n - 1))])
+        grams = [set(g) for g in np.split(words_.grams, words_.begins()[1:])]
+        mine = set().union(*(grams[w] for w in words_.of[words_.text == 0]))
+        for k in range(1, n):
+            inner = toxicity.Words([letters[k - 1 : k + 1]])
+            assert set(inner.grams[1:-1]) <= mine
+
+
+def test_words_end_at_breaks_of_any_script():
+    for gap in "\u0085\u00a0\u2003\u200b\u2028\u3000\ufeff\u2014\u2013\u2026\u201c\u201d\u00ab\u3001\u3002\u300c\uff01\uff1f\u060c\u0964":
+        words_ = toxicity.Words([f"one{gap}two{gap}", "one two"])
+        assert np.array_equal(words_.of[words_.text == 0], words_.of[words_.text == 1]), hex(ord(gap))
+    # letters with marks, and signs that may mean something, stay
+    assert len(toxicity.Words(["naïve हिन्दी ภาษา 日本語 😀 café"]).text) == len("naïve हिन्दी ภาษา 日本語 😀 café".split()) + 2
+
+
+def test_toxic_words_beyond_the_head_of_a_run_are_found():
+    rng, rows = random.Random(5), corpus(1500)
+    han = [chr(0x4E00 + 37 * k) for k in range(200)]
+    head = lambda: words(rng, 12).replace(" ", "")[: rng.choice((17, 18, 20, 22, 24, 30, 40, 60))]
+    for k in range(1500):
+        bad = rng.random() < 0.2
+        rows.append((k, "".join(rng.choices(han, k=rng.randint(6, 60)) + ["虐虑虒"] * bad + rng.choices(han, k=rng.randint(6, 60))), int(bad)))
+    for k in range(600):
+        bad = rng.random() < 0.3
+        rows.append((k, f"{words(rng, rng.randint(3, 30))} {head()}{rng.choice(BAD) * bad} {words(rng, rng.randint(3, 30))}", int(bad)))
+    net = toxicity.train([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    clean = [words(rng, 30) for _ in range(40)]
+    texts = {
+        "dashes": [f"extraordinary\u2014{b}" for b in BAD],
+        "spaces": [f"{c} {b}".replace(" ", "\u00a0") for c in clean for b in BAD],
+        "compounds": [f"{c} {head()}{b} {c}" for c in clean for b in BAD],
+        "han": ["".join(rng.choices(han, k=40) + ["虐虑虒"] + rng.choices(han, k=k)) for k in range(40)],
+    }
+    for name, toxic in texts.items():
+        assert (net.score(toxic) >= 0.7).mean() > 0.85, name
+    for t in (clean, [c.replace(" ", "\u00a0") for c in clean], [f"{c} {head()} {c}" for c in clean], ["".join(rng.choices(han, k=60)) for _ in range(40)]):
+        assert (net.score(t) < 0.7).mean() > 0.85
