@@ -259,8 +259,9 @@ class Adam:
             self.p[k][at] -= (self.rate * fix * self.m[k][at] / (np.sqrt(self.s[k][at]) + 1e-8)).astype(np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 6, batch: int = 512, negatives: int = 24_000) -> Network:
-    """Learns from whole texts with labels 0 and 1. Without both labels the network scores as it began: near its bias."""
+def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 6, batch: int = 512, negatives: int = 24_000, worst: int = 3) -> Network:
+    """Learns from whole texts with labels 0 and 1: in each epoch from the ``worst`` windows of each toxic text that look
+    worst so far and from at most ``negatives`` windows of clean texts, a third of them the worst. Without both labels the network scores as it began: near its bias."""
     net, r = Network(seed), np.random.default_rng(seed)
     labels = np.asarray(labels, bool)
     if not labels.any() or labels.all():
@@ -303,7 +304,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 6,
         order = np.lexsort((-suspect, text))
         rank = np.empty(len(rows), np.int64)
         rank[order] = np.arange(len(rows)) - np.searchsorted(text, text[order])
-        pos = np.flatnonzero(positive & (rank < 3))
+        pos = np.flatnonzero(positive & (rank < worst))
         # the worst windows of clean texts, and others at random
         hard = neg_at[np.argsort(-suspect[neg_at], kind="stable")[: negatives // 3]]
         neg = np.unique(np.concatenate([hard, r.choice(neg_at, min(len(neg_at), negatives - len(hard)), replace=False)]))
@@ -335,15 +336,16 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000, negatives: int = 24_000, worst: int = 3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each input row.
 
-    ``training_rows`` bounds the labelled texts the network is trained on; scoring reads every whole text in a
-    narrow pass. Null and empty texts get the score of a window without words. A null doc_id isn't held out.
+    Three bounds hold for training alone: it is on at most ``training_rows`` labelled texts, and an epoch takes at
+    most ``negatives`` windows of the clean ones and the ``worst`` windows of each toxic one that look worst so far.
+    Scoring reads every window of every text in a narrow pass. Null and empty texts get the score of a window without words. A null doc_id isn't held out.
     Repeated rows are scored alike. An empty table gives an empty result; without labels of both kinds the
     scores are constant. Extra columns are ignored.
     """
-    net = train(*sample_of(docs, labels, training_rows))
+    net = train(*sample_of(docs, labels, training_rows), negatives=negatives, worst=worst)
     params = docs.sparkSession.sparkContext.broadcast(net.p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,9 +359,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, trainin
     return rows.mapInArrow(run, SCHEMA)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``; a narrow pass."""
-    params = docs.sparkSession.sparkContext.broadcast(train(*sample_of(docs, labels, training_rows)).p)
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000, negatives: int = 24_000, worst: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``; a narrow pass. Training is bounded as in ``toxicity``."""
+    params = docs.sparkSession.sparkContext.broadcast(train(*sample_of(docs, labels, training_rows), negatives=negatives, worst=worst).p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = object.__new__(Network)

@@ -194,3 +194,13 @@ def test_toxic_words_beyond_the_head_of_a_run_are_found():
         assert (net.score(toxic) >= 0.7).mean() > 0.85, name
     for t in (clean, [c.replace(" ", "\u00a0") for c in clean], [f"{c} {head()} {c}" for c in clean], ["".join(rng.choices(han, k=60)) for _ in range(40)]):
         assert (net.score(t) < 0.7).mean() > 0.85
+
+
+def test_bounds_of_training_are_parameters(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, **bounds: seen.append(bounds) or toxicity.Network())
+    labels = spark.createDataFrame([(0, 1, 1)], LABELS)
+    toxicity.toxicity(docs, labels, negatives=5, worst=2)
+    toxicity.without_toxic(docs, labels, negatives=6, worst=1)
+    toxicity.toxicity(docs, labels)
+    assert seen == [{"negatives": 5, "worst": 2}, {"negatives": 6, "worst": 1}, {"negatives": 24_000, "worst": 3}]
