@@ -349,18 +349,23 @@ def zipped(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, id long, mark long, z binary")
 
 
-def sample_leads(docs: DataFrame, rows: int, length: int, gram: int) -> np.ndarray:
-    """The leading bytes at the anchors of about SAMPLE_DOCS texts, sorted."""
+def sample_leads(docs: DataFrame, rows: int, size: int, length: int, gram: int) -> np.ndarray:
+    """The leading bytes at about SAMPLE_LEADS anchors of about SAMPLE_DOCS texts, sorted; each anchor has the same chance.
+
+    ``size`` is the bytes of all ``rows`` texts. Least-hashed grams of windows lie half a window apart on average.
+    """
+    docs_share = min(1.0, SAMPLE_DOCS / max(1, rows))
+    share = min(1.0, SAMPLE_LEADS * (length - gram + 2) / 2 / max(1.0, size * docs_share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.random.default_rng(3)
         for batch in batches:
             for b in by_size(batch, "t", SLICE):
                 x = Stretches([t.encode("utf-8", "replace") for t in b.column("t").to_pylist()], length, gram)
-                lead = x.leads(x.anchor)
-                lead = lead[:: max(1, len(lead) // 2000)]
+                lead = x.leads(x.anchor[r.random(len(x.anchor)) < share])
                 yield pa.RecordBatch.from_arrays([pa.array(lead.tolist(), pa.binary())], ["lead"])
 
-    got = docs.sample(min(1.0, SAMPLE_DOCS / max(1, rows)), seed=3).mapInArrow(run, "lead binary").limit(SAMPLE_LEADS).collect()
+    got = docs.sample(docs_share, seed=3).mapInArrow(run, "lead binary").collect()
     return np.sort(np.array([r.lead for r in got], f"S{LEAD}"))
 
 
@@ -375,7 +380,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("doc_id", "text").alias("mark"), text_of().alias("t"))
     many, total = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
     buckets = blocks_for(total or 0, BUCKET, least=12, most=1 << 17)
-    leads = sample_leads(rows, many, length, gram)
+    leads = sample_leads(rows, many, total or 0, length, gram)
     splitters = np.unique(leads[[k * len(leads) // buckets for k in range(1, buckets)]]) if len(leads) else np.zeros(0, f"S{LEAD}")
     found = spool(find_anchors(rows, splitters, length, gram).groupBy("bucket").applyInArrow(lambda rows: sort_stretches(rows, crowd), FOUND), "stretches")
     text = zipped(rows)

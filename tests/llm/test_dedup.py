@@ -194,3 +194,12 @@ def test_slices_hold_all_rows():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (0, 5, 9, 1, 30, 2)] + [None]})
     got = [t for b in jaccard_join.by_size(batch, most=10) for t in b.column("text").to_pylist()]
     assert got == batch.column("text").to_pylist()
+
+
+def test_sampled_leads_are_from_all_partitions(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_LEADS", 400)
+    rng = random.Random(9)
+    rows = [(k, "".join(rng.choices("abcd" if k < 100 else "wxyz", k=2000))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "id long, t string").repartitionByRange(8, "id")
+    leads = suffix_dedup.sample_leads(docs, 200, 400_000, suffix_dedup.LENGTH, suffix_dedup.GRAM)
+    assert 200 < len(leads) < 800 and 0.3 < np.mean([x[:1] >= b"w" for x in leads.tolist()]) < 0.7
