@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 from pyspark.sql.window import Window
 
 from kindred.plans.scratch import shared_dir, spool  # noqa: F401
@@ -26,16 +27,24 @@ def mark(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def with_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+def mark_of_row(docs: DataFrame) -> Column:
+    """What tells rows apart that differ in any column: a hash of all of them."""
+    plain = {f.name: F.col(f"`{f.name}`") for f in docs.schema.fields}
+    nested = {f.name for f in docs.schema.fields if isinstance(f.dataType, (ArrayType, MapType, StructType))}
+    # maps can't be hashed; a tag for each null, as hashes skip nulls
+    return F.xxhash64(*[F.to_json(F.struct(c)) if n in nested else c for n, c in plain.items()], F.concat(*[c.isNull().cast("string") for c in plain.values()]))
+
+
+def with_rows(docs: DataFrame, chosen: DataFrame, marked: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that ``chosen`` (doc_id, mark, times) names, each ``times`` times.
 
-    Of rows that are repeated with id and text, the first stands for all. Whole rows move once, by id and mark.
+    ``marked`` is the mark that ``chosen`` has, by default ``mark()``. Of rows that share id and mark, the first stands for all. Whole rows move once, by id and mark.
     """
     key = F.coalesce("doc_id", F.lit(0))
     names, taken = docs.columns, set(docs.columns)
     k, m, n, t = (next(x for x in (f"{y}{i or ''}" for i in range(99)) if x not in taken) for y in ("_key", "_mark", "_nth", "_times"))
     totals = chosen.select(key.alias(k), F.col("mark").alias(m), F.col("times").alias(t)).groupBy(k, m).agg(F.sum(t).alias(t)).where(F.col(t) > 0)
-    once = docs.withColumn(k, key).withColumn(m, mark()).withColumn(n, F.row_number().over(Window.partitionBy(k, m).orderBy(k))).where(F.col(n) == 1)
+    once = docs.withColumn(k, key).withColumn(m, mark() if marked is None else marked).withColumn(n, F.row_number().over(Window.partitionBy(k, m).orderBy(k))).where(F.col(n) == 1)
     joined = once.join(totals, [k, m])
     return joined.withColumn(t, F.explode(F.sequence(F.lit(1).cast("long"), F.col(t)))).select(*names)
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kindred.llm.common import WORD, mark, pick, spool, table, text_of, with_rows
+from kindred.llm.common import WORD, mark, mark_of_row, pick, spool, table, text_of, with_rows
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Documents that meet in one block of the reduction tree, on average.
@@ -104,16 +104,16 @@ def round_together(items: DataFrame, rows: int, seed: int) -> DataFrame:
         level += 1
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
-    """``doc_id, size, source_size, target, taken``, ``copies`` and ``mark`` (hash of id and text) for each input row.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17, marked: Column | None = None) -> DataFrame:
+    """``doc_id, size, source_size, target, taken``, ``copies`` and ``mark`` (``marked``, by default a hash of id and text) for each input row.
 
     Sources by code point, null last, get ``weights`` in turn. A null or wordless text has size 0 and
     takes nothing. Repeated rows are rounded each by itself. The same rows give the same result in any
     order. An empty table gives an empty result. Extra columns are ignored.
     """
     rows = spool(
-        pick(docs, "doc_id", "text", "source").select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", mark().alias("mark"), "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size")
+        docs.select("doc_id", "text", "source", (mark() if marked is None else marked).alias("mark")).select(
+            F.monotonically_increasing_id().alias("row"), "doc_id", "mark", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size")
         ),
         "rows",
     )
@@ -129,8 +129,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
-    """The mix itself: the rows of ``docs``, with all their columns, as often as they are taken."""
-    return with_rows(docs, mix(docs, weights, most, seed).select("doc_id", "mark", F.col("copies").alias("times")))
+    """The mix itself: the rows of ``docs``, with all their columns, as often as each is taken."""
+    row = mark_of_row(docs)
+    return with_rows(docs, mix(docs, weights, most, seed, row).select("doc_id", "mark", F.col("copies").alias("times")), row)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,16 @@ def test_rounding_is_unbiased_enough(spark, seed):
     first = sum(r.taken for r in out if r.doc_id < 400 and r.doc_id % 2 == 0)
     every = sum(r.taken for r in out if r.doc_id % 2 == 0)
     assert 0.4 < first / every < 0.6
+
+
+def test_rows_that_share_id_and_text_keep_their_source(spark):
+    rows = [(k % 40, "one two three " * (1 + k % 40), "en", f"src{k // 40}", {"k": k // 40}) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, extra map<string,int>").repartition(4)
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[round(r.target, 6)] += r.taken
+    got = Counter()
+    for r in mixing.mixed(docs).collect():
+        assert r.source == f"src{r.extra['k']}"
+        got[r.source] += len(r.text.split())
+    assert sorted(got.values()) == sorted(x for x in taken.values() if x)
