@@ -1,9 +1,10 @@
-"""Document fingerprints: Merkle trees over sections, paragraphs and clauses.
+"""Document fingerprints: Merkle trees over sections and paragraphs, and clause sets beside them.
 
 A section ends at an empty line, a paragraph at a line end, a clause at punctuation or after 32 characters.
 A paragraph's node is the digest of its text, a section's that of its paragraphs' nodes, the root's that of
 the sections' nodes. Cuts lose no character, so equal roots mean equal texts. Where roots differ, the first
-differing section and paragraph tell where an edit begins; the share of equal clause leaves is the likeness.
+differing section and paragraph tell where an edit begins; the likeness is that of the sets
+of distinct clauses, which are no nodes of the tree: how often a clause is repeated does not count.
 """
 
 from __future__ import annotations
