@@ -100,30 +100,32 @@ class ByteBpe:
     def mapped(self, token: bytes) -> str:
         return token.decode("latin-1").translate(self.letters)
 
-    def learn(self, tokens: set[str]) -> None:
-        """Encodes pre-tokens not met before. One that is a vocabulary entry is that entry, whether merges lead to it or not."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        hard = []
+    def learn(self, tokens: list[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of pre-tokens not met before. One that is a vocabulary entry is that entry, whether merges lead to it or not."""
+        hard, out = [], {}
         for t in tokens:
             rank = self.whole.get(t.encode())
             if rank is None:
                 hard.append(t)
             else:
-                self.known[t] = (rank,)
+                out[t] = (rank,)
         for t, pieces in zip(hard, self.model.encode([self.mapped(t.encode()) for t in hard], num_threads=1)):
-            self.known[t] = tuple([self.ids[p] for p in pieces])
+            out[t] = tuple([self.ids[p] for p in pieces])
+        return out
 
     def encode(self, text: str) -> array:
         tokens = (self.split_ascii if text.isascii() else self.split).findall(text)
         try:
             return array("i", chain.from_iterable(map(self.known.__getitem__, tokens)))
         except KeyError:
-            self.learn({t for t in tokens if t not in self.known})
-            missing = {t for t in tokens if t not in self.known}
-            if missing:  # the cache was emptied for this text
-                self.learn(missing)
-            return array("i", chain.from_iterable(map(self.known.__getitem__, tokens)))
+            # the text's own ids, so that it needs nothing of the cache once that is emptied
+            own = {t: self.known.get(t) for t in tokens}
+            learnt = self.learn([t for t, ids in own.items() if ids is None])
+            own |= learnt
+            if len(self.known) > CACHE:
+                self.known.clear()
+            self.known |= learnt
+            return array("i", chain.from_iterable(map(own.__getitem__, tokens)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -258,3 +258,10 @@ def test_parser_survives_broken_markup():
     rng = random.Random(9)
     for _ in range(300):
         html_text.blocks("".join(rng.choice(["<p>", "</p", "<a href='", "<!--", "-->", "&amp", "&#x41;", "<script>", "</script>", "<", ">", "x y", "<li>", "</ul>", '"', "<td>", string.whitespace]) for _ in range(40)))
+
+
+def test_bpe_cache_may_be_emptied_by_a_text_of_many_new_words(encoding, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE", 3)
+    bpe = byte_bpe.ByteBpe(*byte_bpe.public_vocabulary())
+    for text in ("one two three four five six", "one two " + " ".join(f"nineq{chr(97 + k)}z" for k in range(20))):
+        assert bpe.encode(text).tolist() == encoding.encode_ordinary(text)
