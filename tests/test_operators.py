@@ -341,3 +341,11 @@ def test_metrics(spark):
     assert abs(metrics.f_score(true, found, 2.0) - 2 / 3) < 1e-12
     with pytest.raises(ValidationError):
         metrics.f_score(true, found, -1)
+
+
+def test_best_match_score_chooses_among_all_regions(spark, tmp_path):
+    from kindred.plans.queries import best_match_score
+
+    spark.createDataFrame([(k, f"REGION{k}") for k in range(5)] + [(5, "ALGERIA"), (6, "BRAZIL")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    spark.createDataFrame([(0, "ALGERIA"), (1, "BRAZIL")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    assert {(r.n_nationkey, r.best, r.score) for r in best_match_score(spark, str(tmp_path)).collect()} == {(0, "ALGERIA", 1.0), (1, "BRAZIL", 1.0)}
