@@ -5,6 +5,10 @@ white space and punctuation of any script; long ones are read in pieces that ove
 32 words that overlap by half are scored one by one; a document's score is that of its worst window, so length
 doesn't dilute it. Only document labels are known, so training picks the windows of toxic documents that look
 worst so far (first by log-odds, then by the network) and learns from those.
+
+A score is a function of the text alone, whatever batch it comes in: scoring keeps weights and states on a
+binary grid, on which all sums are exact in double precision, so the order in which a product of matrices adds
+up, which depends on the number of rows, can't matter.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import pick, table
+from kindred.llm.common import pick, table, text_of
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH = 8, 8
@@ -125,6 +129,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+#: Steps of the grids of weights and states, and of attention, in powers of two.
+GRID, FINE = 4096.0, float(1 << 20)
+
+
+def to_grid(x: np.ndarray, steps: float = GRID) -> np.ndarray:
+    """The nearest multiples of 1 / ``steps``. Products and sums of such numbers that stay small are exact doubles."""
+    return np.rint(x * steps) * (1 / steps)
+
+
 class Network:
     """Two GRUs over word vectors, attention over their states, and a logistic output."""
 
@@ -148,17 +161,23 @@ class Network:
 
     def projected(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """What each word adds to the gates; a last row of zeros stands for no word."""
-        return {d: np.concatenate([x @ self.p[f"w{d}"] + self.p[f"c{d}"], np.zeros((1, 3 * HIDDEN), np.float32)]) for d in "fb"}
+        return {d: np.concatenate([x @ self.p[f"w{d}"] + self.p[f"c{d}"], np.zeros((1, 3 * HIDDEN), x.dtype)]) for d in "fb"}
 
-    def run(self, d: str, gates: np.ndarray, rows: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        u = self.p[f"u{d}"]
-        h, out = np.zeros((len(rows), HIDDEN), np.float32), np.empty((len(rows), WINDOW, HIDDEN), np.float32)
+    def on_grid(self) -> "Network":
+        """A copy for scoring, in double precision, with all weights on the grid; the tables stay single, which holds their grid."""
+        net = object.__new__(Network)
+        net.p = {k: to_grid(x).astype(np.float32 if k in ("word", "gram") else np.float64) for k, x in self.p.items()}
+        return net
+
+    def run(self, d: str, gates: np.ndarray, rows: np.ndarray, mask: np.ndarray, keep: list | None = None, exact: bool = False) -> np.ndarray:
+        u, kind, snap = self.p[f"u{d}"], gates.dtype, to_grid if exact else lambda x: x
+        h, out = np.zeros((len(rows), HIDDEN), kind), np.empty((len(rows), WINDOW, HIDDEN), kind)
         for t in range(WINDOW) if d == "f" else reversed(range(WINDOW)):
             x = gates[rows[:, t]]
             zr = sigmoid(x[:, : 2 * HIDDEN] + h @ u[:, : 2 * HIDDEN])
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            c = np.tanh(x[:, 2 * HIDDEN :] + (r * h) @ u[:, 2 * HIDDEN :])
-            new = (h + z * (c - h)) * mask[:, t, None]
+            c = np.tanh(x[:, 2 * HIDDEN :] + snap(r * h) @ u[:, 2 * HIDDEN :])
+            new = snap(h + z * (c - h)) * mask[:, t, None]
             if keep is not None:
                 keep.append((t, h, z, r, c))
             h = new
@@ -175,15 +194,24 @@ class Network:
             keep |= {"mask": mask, "states": states, "a": a, "pooled": pooled}
         return sigmoid(pooled @ self.p["out"] + self.p["bias"])
 
+    def exactly(self, gates: dict, rows: np.ndarray) -> np.ndarray:
+        """``forward`` on the grid: each window's score, in millionths, doesn't depend on the other windows."""
+        here = rows >= 0
+        states = np.concatenate([self.run(d, gates[d], rows, here.astype(np.float64), exact=True) for d in "fb"], 2)
+        e = np.where(here, states @ self.p["v"] * self.p["vs"], -1e9)
+        a = to_grid(np.exp(e - e.max(1, keepdims=True)), FINE) * here
+        pooled = np.einsum("nt,nth->nh", a, states) / np.maximum(a.sum(1, keepdims=True), 1.0)
+        return np.round(sigmoid(to_grid(pooled, FINE) @ self.p["out"] + self.p["bias"]), 6)
+
     def score(self, texts: list[str]) -> np.ndarray:
         """The worst window's score of each text."""
-        out = []
+        net, out = self.on_grid(), []
         for run in texts_by_words(texts):
             words = Words(run)
             rows, text = words.windows(len(run))
-            gates, got = self.projected(self.inputs(words)), np.empty(len(rows))
+            gates, got = net.projected(to_grid(net.inputs(words).astype(np.float64))), np.empty(len(rows))
             for k in range(0, len(rows), BATCH):
-                got[k : k + BATCH] = self.forward(gates, rows[k : k + BATCH])
+                got[k : k + BATCH] = net.exactly(gates, rows[k : k + BATCH])
             out.append(np.maximum.reduceat(got, np.searchsorted(text, np.arange(len(run)))))
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -206,9 +234,13 @@ class Network:
         g["v"], g["vs"] = np.einsum("nt,nth->h", de, s) * self.p["vs"], np.array([(de * (s @ self.p["v"])).sum()], np.float32)
         dstates = a[:, :, None] * dpool[:, None] + de[:, :, None] * (self.p["v"] * self.p["vs"])
         dx = np.zeros_like(x)
+        # all places of a word next to each other, to add up what they hand down
+        order = np.argsort(local, axis=None, kind="stable")
+        placed = local.ravel()[order]
+        first = np.searchsorted(placed, np.arange(len(x)))
         for k, d in enumerate("fb"):
             u, ds = self.p[f"u{d}"], dstates[:, :, k * HIDDEN : (k + 1) * HIDDEN]
-            gu, dg = np.zeros_like(u), np.zeros((len(x) + 1, 3 * HIDDEN), np.float32)
+            gu, steps = np.zeros_like(u), np.empty((*rows.shape, 3 * HIDDEN), x.dtype)
             dh = np.zeros((len(rows), HIDDEN), np.float32)
             for t, h, z, r, c in reversed(keep[d]):
                 dn = (dh + ds[:, t]) * keep["mask"][:, t, None]
@@ -220,10 +252,8 @@ class Network:
                 gu[:, : 2 * HIDDEN] += h.T @ dzr
                 gu[:, 2 * HIDDEN :] += (r * h).T @ dc
                 dh = dn * (1 - z) + drh * r + dzr @ u[:, : 2 * HIDDEN].T
-                step = np.concatenate([dzr, dc], 1)
-                for j in range(3 * HIDDEN):
-                    dg[:, j] += np.bincount(local[:, t] + 1, step[:, j], len(x) + 1)
-            dg = dg[1:]
+                steps[:, t, : 2 * HIDDEN], steps[:, t, 2 * HIDDEN :] = dzr, dc
+            dg = np.add.reduceat(steps.reshape(-1, 3 * HIDDEN)[order], first, 0) if len(x) else np.zeros((0, 3 * HIDDEN), x.dtype)
             g |= {f"u{d}": gu, f"w{d}": x.T @ dg, f"c{d}": dg.sum(0)}
             dx += dg @ self.p[f"w{d}"].T
         g["word"] = (sub.word, dx[:, :WIDTH])
@@ -323,29 +353,44 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 6,
     return net
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[list[str], np.ndarray]:
-    """At most ``limit`` labelled texts that aren't held out, chosen by a hash of doc_id."""
+def sample_of(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int) -> tuple[list[str], np.ndarray]:
+    """At most ``limit`` labelled texts that aren't held out, in the order of a hash of doc_id, as long as they have at most ``most_bytes`` together.
+
+    Of rows that share a doc_id the text with the least digest counts, so that the sample is the same each time.
+    """
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     chosen = {r.doc_id: r.toxic for r in known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()}
-    rows = pick(docs, "doc_id", "text").where(F.col("doc_id").isin(list(chosen))).dropDuplicates(["doc_id"]).collect() if chosen else []
-    rows.sort(key=lambda x: x.doc_id)
-    return [x.text or "" for x in rows], np.array([chosen[x.doc_id] for x in rows], int)
+    if not chosen:
+        return [], np.zeros(0, int)
+    rows = pick(docs, "doc_id", "text").where(F.col("doc_id").isin(list(chosen)))
+    sized = {r.doc_id: r.least for r in rows.groupBy("doc_id").agg(F.min(F.struct(F.sha2(text_of(), 256).alias("sha"), F.octet_length(text_of()).alias("size"))).alias("least")).collect()}
+    taken, total = set(), 0
+    for i in (i for i in chosen if i in sized):
+        total += sized[i].size
+        if taken and total > most_bytes:
+            break
+        taken.add(i)
+    named = F.concat_ws(" ", "doc_id", F.sha2(text_of(), 256))
+    got = rows.where(named.isin([f"{i} {sized[i].sha}" for i in sorted(taken)])).dropDuplicates(["doc_id"]).collect()
+    text = {r.doc_id: r.text or "" for r in got}
+    ids = sorted(text)
+    return [text[i] for i in ids], np.array([chosen[i] for i in ids], int)
 
 
 def held_out(doc_id) -> F.Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000, negatives: int = 24_000, worst: int = 3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000, training_bytes: int = 64 << 20, negatives: int = 24_000, worst: int = 3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each input row.
 
-    Three bounds hold for training alone: it is on at most ``training_rows`` labelled texts, and an epoch takes at
-    most ``negatives`` windows of the clean ones and the ``worst`` windows of each toxic one that look worst so far.
+    Bounds hold for training alone: it is on at most ``training_rows`` labelled texts of ``training_bytes`` together
+    (the last ones by a hash of doc_id are left out; a single text may be longer), and an epoch takes at most ``negatives`` windows of the clean ones and the ``worst`` windows of each toxic one that look worst so far.
     Scoring reads every window of every text in a narrow pass. Null and empty texts get the score of a window without words. A null doc_id isn't held out.
     Repeated rows are scored alike. An empty table gives an empty result; without labels of both kinds the
     scores are constant. Extra columns are ignored.
     """
-    net = train(*sample_of(docs, labels, training_rows), negatives=negatives, worst=worst)
+    net = train(*sample_of(docs, labels, training_rows, training_bytes), negatives=negatives, worst=worst)
     params = docs.sparkSession.sparkContext.broadcast(net.p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,9 +404,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, trainin
     return rows.mapInArrow(run, SCHEMA)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000, negatives: int = 24_000, worst: int = 3) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000, training_bytes: int = 64 << 20, negatives: int = 24_000, worst: int = 3) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below ``threshold``; a narrow pass. Training is bounded as in ``toxicity``."""
-    params = docs.sparkSession.sparkContext.broadcast(train(*sample_of(docs, labels, training_rows), negatives=negatives, worst=worst).p)
+    params = docs.sparkSession.sparkContext.broadcast(train(*sample_of(docs, labels, training_rows, training_bytes), negatives=negatives, worst=worst).p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = object.__new__(Network)

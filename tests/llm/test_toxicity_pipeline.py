@@ -41,6 +41,28 @@ def test_network_learns_words_and_their_endings():
     assert np.array_equal(again.score([t for _, t, _ in held[:20]]), score[:20])
 
 
+def test_scores_depend_on_the_text_alone():
+    rows = corpus(500)
+    net = toxicity.train([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    rng = random.Random(8)
+    texts = [t for _, t, _ in rows[:120]] + ["", " \n", "word", "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0" * 50, words(rng, 3000), "x" * 500]
+    alone = np.concatenate([net.score([t]) for t in texts])
+    for size in (2, 7, 64, len(texts)):
+        assert np.array_equal(alone, np.concatenate([net.score(texts[k : k + size]) for k in range(0, len(texts), size)]))
+    order = rng.sample(range(len(texts)), len(texts))
+    assert np.array_equal(alone[order], net.score([texts[k] for k in order]))
+
+
+def test_training_sample_is_bounded_and_repeatable(spark):
+    docs = [(k, f"text {k} " + "x" * 100, "en", "s", 1) for k in range(60)] + [(k, f"other text of {k}", "fr", "t", 1) for k in range(0, 60, 2)] * 3
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(80)] * 2, LABELS)
+    seen = {tuple(toxicity.sample_of(spark.createDataFrame(random.Random(n).sample(docs, len(docs)), DOCS).repartition(n), labels, 30, 1 << 20)[0]) for n in (1, 3, 7)}
+    assert len(seen) == 1 and 20 <= len(*seen) <= 30
+    texts, y = toxicity.sample_of(spark.createDataFrame(docs, DOCS), labels, 30, 1000)
+    assert 0 < sum(map(len, texts)) <= 1000 and len(texts) == len(y)
+    assert toxicity.sample_of(spark.createDataFrame([], DOCS), labels, 30, 1000)[0] == []
+
+
 def test_gradients_of_the_network():
     texts = ["a bad word here", "clean words only in this one", "x", ""]
     words_ = toxicity.Words(texts)
