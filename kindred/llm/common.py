@@ -38,7 +38,9 @@ def mark_of_row(docs: DataFrame) -> Column:
 def with_rows(docs: DataFrame, chosen: DataFrame, marked: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that ``chosen`` (doc_id, mark, times) names, each ``times`` times.
 
-    ``marked`` is the mark that ``chosen`` has, by default ``mark()``. Of rows that share id and mark, the first stands for all. Whole rows move once, by id and mark.
+    ``marked`` is the mark that ``chosen`` has, by default ``mark()``. Of rows that share id and mark, one stands for
+    all, so ``marked`` should tell apart rows that differ. Whole rows move once, by id and mark; of rows that share
+    them a task sends only one on, as the filter on their number is applied before the shuffle, too.
     """
     key = F.coalesce("doc_id", F.lit(0))
     names, taken = docs.columns, set(docs.columns)
@@ -49,10 +51,26 @@ def with_rows(docs: DataFrame, chosen: DataFrame, marked: Column | None = None)
     return joined.withColumn(t, F.explode(F.sequence(F.lit(1).cast("long"), F.col(t)))).select(*names)
 
 
+#: Rows of one key that one task may join, at least; and the power of two of keys that are broadcast at most.
+HOT, KEYS_BITS = 256, 16
+
+
+def join_counted(rows: DataFrame, found: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined to ``found``, which has a row for each ``key`` and in ``count`` how many of ``rows`` have it.
+
+    Fewer than 2^16 keys can each have more than a 2^16th of all rows: their rows of ``found`` are broadcast, so
+    the rows that share such a key stay where they are. The others are joined by key. Both tables are read twice.
+    """
+    most = max(HOT, rows.count() >> KEYS_BITS)
+    hot = F.broadcast(found.where(F.col(count) > most))
+    cold = rows.join(hot.select(key), key, "left_anti").join(found.where(F.col(count) <= most), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def blocks_for(total_bytes: int, each: int, least: int = 12, most: int = 8192) -> int:
-    """How many blocks of about ``each`` bytes hold ``total_bytes``."""
-    return int(min(most, max(least, -(-total_bytes // each))))
+def blocks_for(total_bytes: int, each: int, least: int = 12) -> int:
+    """How many blocks of about ``each`` bytes hold ``total_bytes``, however many these are."""
+    return int(max(least, -(-total_bytes // each)))

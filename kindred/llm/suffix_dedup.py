@@ -379,7 +379,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     """
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("doc_id", "text").alias("mark"), text_of().alias("t"))
     many, total = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
-    buckets = blocks_for(total or 0, BUCKET, least=12, most=1 << 17)
+    buckets = blocks_for(total or 0, BUCKET)
     leads = sample_leads(rows, many, total or 0, length, gram)
     splitters = np.unique(leads[[k * len(leads) // buckets for k in range(1, buckets)]]) if len(leads) else np.zeros(0, f"S{LEAD}")
     found = spool(find_anchors(rows, splitters, length, gram).groupBy("bucket").applyInArrow(lambda rows: sort_stretches(rows, crowd), FOUND), "stretches")

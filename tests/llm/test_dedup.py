@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.llm import exact_dedup, jaccard_join, suffix_dedup
 
@@ -37,6 +38,34 @@ def test_exact_dedup_of_nothing(no_docs):
     assert exact_dedup.exact_dedup(no_docs).collect() == [] and exact_dedup.without_copies(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("hash_of", [lambda c: F.lit(7), lambda c: F.pmod(F.crc32(c), F.lit(3))])
+def test_exact_dedup_verifies_chunks(docs, awkward, hash_of):
+    key = lambda rows: Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in rows)
+    assert key(exact_dedup.exact_dedup(docs, hash_of).collect()) == key(exact_dedup.exact_dedup(docs).collect())
+
+
+def test_exact_dedup_groups_by_recipe(docs, monkeypatch):
+    # the recipe decides: one that forgets all but the last chunk makes texts with equal ends equal
+    rows = [(1, "a" * 600 + "\n" + "same end\n", "en", "s", 1), (2, "b" * 600 + "\n" + "same end\n", "en", "s", 1)]
+    df = docs.sparkSession.createDataFrame(rows, docs.sparkSession.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").schema)
+    assert [r.group_size for r in exact_dedup.exact_dedup(df).collect()] == [1, 1]
+    whole = exact_dedup.recipes
+    monkeypatch.setattr(exact_dedup, "recipes", lambda *a, **k: whole(*a, **k).withColumn("recipe", F.slice("recipe", -1, 1)))
+    assert [r.group_size for r in exact_dedup.exact_dedup(df).collect()] == [2, 2]
+
+
+def test_exact_dedup_of_a_large_group(spark):
+    rows = [(k, "copy" if k % 3 else f"text {k}", "en", "s", 1) for k in range(1200)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)).collect()
+    assert len(got) == 1200 and {(r.group_size, r.keep_id) for r in got if r.doc_id % 3} == {(800, 1199)} and sum(r.kept for r in got) == 401
+
+
+def test_exact_dedup_stays_the_same_among_rows_that_share_id_and_text(spark):
+    rows = [(1, "t", lang, src, 1) for lang in ("a", "b", "c") for src in ("x", "y", None)]
+    got = {tuple(map(tuple, exact_dedup.without_copies(spark.createDataFrame(random.Random(n).sample(rows, 9), "doc_id long, text string, lang string, source string, n_chars long").repartition(n)).collect())) for n in (1, 2, 5)}
+    assert len(got) == 1
+
+
 def test_chunks_lose_nothing():
     rng = random.Random(3)
     pattern = exact_dedup.chunk_pattern(16, 64).replace("\\z", "\\Z")
