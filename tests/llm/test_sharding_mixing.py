@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.llm import mixing, sharding
 
@@ -131,6 +132,26 @@ def test_rounding_hits_the_target_within_one_document(spark):
     assert all(abs(sum(v) - target) <= 50 for (_, target), v in by.items())
 
 
+def test_large_documents_leave_small_errors(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(["w"] * (rng.randint(1, 60) if k % 40 else rng.randint(1500, 2500))), "x", ["a", "b", None][k % 3], 0) for k in range(1500)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.source_size, r.target].append(r.taken)
+    assert all(abs(sum(v) - target) <= 60 for (_, target), v in by.items())
+
+
+def test_repeated_rows_are_dealt_to_blocks(spark):
+    # rows that agree in everything have ties of their own, and the same ones in any order
+    rows = [(1, "one two three", "x", "a", 0)] * 700 + [(None, "four five", "x", "b", 0)] * 700 + [(k, "six", "x", None, 0) for k in range(100)]
+    of = lambda n: spark.createDataFrame(random.Random(n).sample(rows, len(rows)), "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+    copies = mixing.among_equals(of(3).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("doc_id", "text").alias("same"))).groupBy("doc_id", "same").agg(F.countDistinct("copy").alias("n"), F.max("copy").alias("most"), F.count("*").alias("rows")).collect()
+    assert all(r.n == r.rows == r.most + 1 for r in copies)
+    got = [Counter((r.doc_id, r["size"], r.taken) for r in mixing.mix(of(n)).collect()) for n in (1, 4)]
+    assert got[0] == got[1]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_rounding_is_unbiased_enough(spark, seed):
     rows = [(k, "a b", "x", ["a", "b"][k % 2], 0) for k in range(800)]
