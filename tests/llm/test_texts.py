@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import string
 from collections import Counter
 from datetime import datetime, timezone
@@ -22,6 +23,48 @@ def edited(rows):
         yield i, t, t[: len(t) - half] + n[:half], n
 
 
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def brute_tree(text):
+    """Sections of paragraphs of clauses' digests, by plain loops."""
+    sections = [x for x in re.split(r"(?<=\n\n)", text)]
+    # a run of three line ends ends a section after the second and after the third
+    return [[[sha(c) for c in re.findall(fingerprints.CLAUSE.replace("\\z", "\\Z"), p)] for p in re.split(r"(?<=\n)", s)] for s in sections]
+
+
+def brute_root(text):
+    return sha("r" + "".join(sha("s" + "".join(sha("p" + "".join(p)) for p in s)) for s in brute_tree(text)))
+
+
+def brute_likeness(a, b):
+    a, b = (Counter(c for s in brute_tree(t) for p in s for c in p) for t in (a, b))
+    return 2 * (a & b).total() / (a.total() + b.total()) if a or b else 1.0
+
+
+def test_fingerprints_are_those_of_the_tree(docs, awkward, spark):
+    rng = random.Random(6)
+    line = lambda: rng.choice(["one line.\n", "two, lines\n", "\n", "a longer line of words; with a clause\n", words(rng, 5) + ". "])
+    extra = [(1000 + k, "".join(line() for _ in range(rng.randint(0, 40))), "en", "s", 1) for k in range(60)]
+    rows = [r for r in awkward if len(r[1] or "") < 5000] + extra
+    want = Counter((i, brute_root(t), brute_root(e), round(brute_likeness(t, e), 9), round(brute_likeness(t, n), 9)) for i, t, e, n in edited(rows))
+    got = fingerprints.compare_edits(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+
+
+def test_least_and_null_ids_are_told_apart(spark):
+    rows = [(-(1 << 63), "least id", None, None, 1), (None, "no id", None, None, 1), (5, "five", None, None, 1)]
+    got = {r.doc_id: r.next_t for r in fingerprints.with_next(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {None: "least id", -(1 << 63): "five", 5: "no id"}
+
+
+def test_blocks_have_partitions_of_their_own(spark):
+    keys = fingerprints.keys_of(spark, 37)
+    df = spark.createDataFrame([(k,) for k in keys], "key int").repartition(37, "key").select(F.spark_partition_id().alias("p"))
+    assert sorted(r.p for r in df.collect()) == list(range(37))
+
+
 @pytest.mark.parametrize("block_bytes", [32 << 20, 500])
 def test_fingerprints(docs, awkward, monkeypatch, block_bytes):
     monkeypatch.setattr(fingerprints.with_next, "__defaults__", (block_bytes,))
