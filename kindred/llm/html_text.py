@@ -1,9 +1,11 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page becomes the sequence of its leaf blocks. Each block is described by its tag path (names, classes, ids of
-all its open elements, hashed), its hashed words, and a few numbers; a bidirectional LSTM in numpy reads the
+all its open elements, hashed; inline ones count if all of the block is inside), its hashed words, and a few
+numbers; a bidirectional LSTM in numpy reads the
 whole sequence both ways and labels every block as main text or not. It is trained on pages that a generator
-lays out with known labels, so it needs no labelled corpus.
+lays out with known labels, so it needs no labelled corpus. Labels are computed on a grid of numbers whose sums
+are exact, so they depend on the page alone and not on those that are labelled with it.
 """
 
 from __future__ import annotations
@@ -20,13 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.common import pick, table
-from kindred.llm.jaccard_join import BASE, SPACE, mix
-from kindred.llm.toxicity import Adam, sigmoid
+from kindred.llm.jaccard_join import BASE, SPACE, by_size, mix
+from kindred.llm.toxicity import Adam, sigmoid, to_grid
 
 PATHS, PATH_WIDTH, WORDS, WORD_WIDTH, NUMBERS, HIDDEN = 1 << 12, 12, 1 << 12, 6, 5, 12
 WIDTH = PATH_WIDTH + WORD_WIDTH + NUMBERS
 SCHEMA = "page_id long, url string, text string, n_chars long"
-PAGES = 256  # pages that go through the parser and the network together
+PAGES = 256  # pages that go through the parser and the network together, at most, and bytes of them
+BYTES = 4 << 20
+CELLS = 1 << 15  # blocks, those that pad pages to one length included, that go through the network together; a longer page goes alone
+STEPS = 1 << 12  # blocks of a page whose gates are held at a time
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,30 +48,31 @@ def element(tag: str, attributes: str) -> tuple[str, tuple[str, ...]]:
     found = [tag]
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        found += [f"{name}:{w}" for w in PIECES.findall(value)[:8]] or [name]
+        found += [f"{name}:{w}" for w in PIECES.findall(value)] or [name]
     return tag, tuple(found)
 
 
 @lru_cache(maxsize=1 << 14)
 def path_features(stack: tuple, leaf: str) -> np.ndarray:
     """The distinct hashed features of a path: what its elements are, and which is the innermost."""
-    names = {w for _, found in stack for w in found} | {f"leaf {leaf}"} | {f"in {w} > {leaf}" for w in (stack[-2][1] if len(stack) > 1 else ())}
+    outer = [e for e in stack if e[0] not in INLINE]
+    names = {w for tag, found in stack for w in (found[1:] if tag in INLINE else found)} | {f"leaf {leaf}"} | {f"in {w} > {leaf}" for w in (outer[-2][1] if len(outer) > 1 else ())}
     return np.array(sorted({zlib.crc32(n.encode()) % PATHS for n in names}), np.int64)
 
 
 def blocks(html: str) -> list[tuple[str, tuple, str, float]]:
     """(text, open elements, innermost block element, share of linked characters) of each non-empty leaf block."""
-    out, text, stack, linked, links = [], [], [], 0, 0
+    out, text, stack, linked, links, around = [], [], [], 0, 0, None
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, around
         if text:
             words = " ".join("".join(text).split())
             if words:
                 path = tuple(e for e in stack if e[0] not in INLINE)
-                out.append((words, path, path[-1][0] if path else "", min(1.0, linked / len(words))))
+                out.append((words, path + (around or ()), path[-1][0] if path else "", min(1.0, linked / len(words))))
             text.clear()
-        linked = 0
+        linked, around = 0, None
 
     def leave(tag: str) -> None:
         nonlocal links
@@ -81,8 +87,12 @@ def blocks(html: str) -> list[tuple[str, tuple, str, float]]:
         if plain is not None:
             t = unescape(plain) if "&" in plain else plain
             text.append(t)
-            if links:
-                linked += len(t.strip())
+            if t.strip():
+                # inline elements with attributes that all of the block's text is in
+                here = tuple(e for e in stack if e[0] in INLINE and len(e[1]) > 1)
+                around = here if around is None else tuple(e for e in around if e in here)
+                if links:
+                    linked += len(t.strip())
             continue
         tag = m[3]
         if tag is None:
@@ -95,7 +105,7 @@ def blocks(html: str) -> list[tuple[str, tuple, str, float]]:
                 if m[2]:
                     leave(tag)
                 else:
-                    stack.append((tag, (tag,)))
+                    stack.append(element(tag, m[4] or ""))
                     links += tag == "a"
             continue
         close()
@@ -156,11 +166,11 @@ class Pages:
         return (hashes % np.uint64(WORDS)).astype(np.int64), np.bincount(np.searchsorted(ends, start, side="right"), minlength=len(raw))
 
 
-def summed(rows: np.ndarray, count: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(count), rows.shape[1]), np.float32)
+def summed(rows: np.ndarray, count: np.ndarray, kind: type = np.float32) -> np.ndarray:
+    out = np.zeros((len(count), rows.shape[1]), kind)
     some = count > 0
     if some.any():
-        out[some] = np.add.reduceat(rows, (np.cumsum(count) - count)[some], 0)
+        out[some] = np.add.reduceat(rows, (np.cumsum(count) - count)[some], 0, dtype=kind)
     return out
 
 
@@ -241,14 +251,48 @@ class Labeller:
         g["word"] = (x.word, np.repeat(per_word, x.word_count, 0))
         return g
 
+    def on_grid(self) -> "Labeller":
+        """A copy for labelling, with all weights on the grid; the tables stay single, which holds their grid."""
+        net = object.__new__(Labeller)
+        net.p = {k: to_grid(x).astype(np.float32 if k in ("path", "word") else np.float64) for k, x in self.p.items()}
+        return net
+
+    def exactly(self, x: Pages) -> np.ndarray:
+        """Whether each block is main text: ``forward`` in double precision and on the grid, with the gates of some blocks at a time."""
+        word = summed(self.p["word"][x.word], x.word_count, np.float64) / np.maximum(1, x.word_count)[:, None]
+        v = to_grid(np.concatenate([summed(self.p["path"][x.path], x.path_count, np.float64), word, x.number.astype(np.float64)], 1))
+        place = self.places(x.length)
+        logit = np.full(len(v), self.p["bias"][0])
+        for k, d in enumerate("fb"):
+            w, u, out = self.p[f"w{d}"], self.p[f"u{d}"], self.p["out"][k * HIDDEN : (k + 1) * HIDDEN]
+            h, c = np.zeros((len(place), HIDDEN)), np.zeros((len(place), HIDDEN))
+            parts = range(0, place.shape[1], STEPS)
+            for low in parts if d == "f" else reversed(parts):
+                here = place[:, low : low + STEPS]
+                gates = v[here] @ w
+                steps = range(here.shape[1])
+                for t in steps if d == "f" else reversed(steps):
+                    on = here[:, t] >= 0
+                    a = gates[:, t] + h @ u
+                    ifo, g = sigmoid(a[:, : 3 * HIDDEN]), np.tanh(a[:, 3 * HIDDEN :])
+                    c = to_grid(ifo[:, HIDDEN : 2 * HIDDEN] * c + ifo[:, :HIDDEN] * g) * on[:, None]
+                    h = to_grid(ifo[:, 2 * HIDDEN :] * np.tanh(c)) * on[:, None]
+                    logit[here[on, t]] += h[on] @ out
+        return logit >= 0
+
     def label(self, pages: list[list[tuple]]) -> list[np.ndarray]:
         """Pages of like length go together, so that one long page doesn't pad the others."""
+        net = self.on_grid()
         out: list = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
-        for low in range(0, len(order), 64):
-            some = order[low : low + 64]
+        low = 0
+        while low < len(order):
+            high = low + 1
+            while high < len(order) and high - low < 64 and (high + 1 - low) * len(pages[order[high]]) <= CELLS:
+                high += 1
+            some, low = order[low:high], high
             x = Pages([pages[k] for k in some])
-            for k, y in zip(some, np.split(self.forward(x) >= 0.5, np.cumsum(x.length)[:-1])):
+            for k, y in zip(some, np.split(net.exactly(x), np.cumsum(x.length)[:-1])):
                 out[k] = y
         return out
 
@@ -354,6 +398,7 @@ class Layouts:
         return f"<!DOCTYPE html><html><head>{title}</head><body>{wrap}{before}<{tag}{name}>{body}</{tag}>{after}{'</div>' if wrap else ''}</body></html>"
 
 
+@lru_cache(maxsize=2)
 def train(pages: int = 2400, epochs: int = 4, batch: int = 48, seed: int = 2) -> Labeller:
     """Learns from ``pages`` generated pages; the same weights each time."""
     make, net, r = Layouts(seed), Labeller(seed), np.random.default_rng(seed)
@@ -376,7 +421,8 @@ def train(pages: int = 2400, epochs: int = 4, batch: int = 48, seed: int = 2) ->
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each input row, in a narrow pass.
 
-    Blocks that are main text, white space inside each as one space, joined by line ends in page order. A null or
+    Blocks that are main text, white space inside each (as Unicode and so Python's ``split`` have it, U+00A0
+    included) as one space, joined by line ends in page order. A null or
     empty html, or one without main text, gives an empty text. Repeated rows and nulls in other columns are kept
     as they are. An empty table gives an empty result. Extra columns are ignored.
     """
@@ -386,8 +432,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         net = object.__new__(Labeller)
         net.p = params.value
         for whole in batches:
-            for low in range(0, whole.num_rows, PAGES):
-                b = whole.slice(low, PAGES)
+            for b in (part.slice(low, PAGES) for part in by_size(whole, "html", BYTES) for low in range(0, part.num_rows, PAGES)):
                 parsed = [blocks(h or "") for h in b.column("html").to_pylist()]
                 texts = ["\n".join(x[0] for x, y in zip(page, keep) if y) for page, keep in zip(parsed, net.label(parsed))]
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])

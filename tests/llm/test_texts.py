@@ -308,3 +308,27 @@ def test_bpe_cache_may_be_emptied_by_a_text_of_many_new_words(encoding, monkeypa
     bpe = byte_bpe.ByteBpe(*byte_bpe.public_vocabulary())
     for text in ("one two three four five six", "one two " + " ".join(f"nineq{chr(97 + k)}z" for k in range(20))):
         assert bpe.encode(text).tolist() == encoding.encode_ordinary(text)
+
+
+def test_labels_depend_on_the_page_alone():
+    net, layouts = html_text.train(), html_text.Layouts(5)
+    pages_ = [html_text.blocks(layouts.page()) for _ in range(150)]
+    together = net.label(pages_)
+    assert all((a == net.label([p])[0]).all() for a, p in zip(together, pages_))
+
+
+def test_very_long_pages_are_labelled_in_parts(monkeypatch):
+    net, layouts = html_text.train(), html_text.Layouts(6)
+    pages_ = [html_text.blocks("".join(layouts.page() for _ in range(20)))] + [html_text.blocks(layouts.page()) for _ in range(30)]
+    want = net.label(pages_)
+    monkeypatch.setattr(html_text, "STEPS", 7)
+    monkeypatch.setattr(html_text, "CELLS", 50)
+    assert all((a == b).all() for a, b in zip(want, net.label(pages_)))
+
+
+def test_all_pieces_of_an_attribute_and_inline_ones_are_features():
+    many = " ".join(f"name{k} {'abcdefghijkl'[k]}x" for k in range(12))
+    assert {"class:lx", "class:name"} <= set(html_text.element("div", f' class="{many}"')[1])
+    (text, path, leaf, _), (_, other, _, _) = html_text.blocks('<div><span class="ad box"> all <b>of it</b></span> </div><div>some <span class="ad">of it</span></div>')
+    assert (text, leaf) == ("all of it", "div") and "class:ad" in {w for _, found in path for w in found}
+    assert "class:ad" not in {w for _, found in other for w in found}
