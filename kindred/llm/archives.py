@@ -8,9 +8,9 @@ files in the shared folder and read back by their declared lengths.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kindred.llm.common import blocks_for, pick, shared_dir, spool, table
+from kindred.llm.common import blocks_for, join_counted, pick, shared_dir, spool, table
 from kindred.llm.jaccard_join import by_size
 
 #: Fixed values of the formats.
@@ -167,18 +167,42 @@ def convert(arc: bytes, identify: Callable[[int, Record], tuple[str, str | None]
         yield write_warc(r, *identify(k, r))
 
 
+def member(record: bytes) -> bytes:
+    """A gzip member. Its last byte is 0, which the writer adds as its line end: that is the uppermost of the length
+    in four bytes, and an empty member follows one whose length needs it."""
+    pack = lambda x: (z := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(x) + z.flush()
+    out = pack(record)
+    return out if out[-1] == 0 else out + pack(b"")
+
+
+def members(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """What the gzip members of a file hold, one after another."""
+    at = 0
+    while at < len(data):
+        one, parts = zlib.decompressobj(31), []
+        while not one.eof:
+            chunk = data[at : at + step]
+            if not chunk:
+                raise ValueError("a gzip member is cut off")
+            parts.append(one.decompress(chunk))
+            at += len(chunk)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
+
+
 def plan(pages: DataFrame, least_bytes: int, parts: int) -> DataFrame:
     """``page_id, url, html, copy, revisit, first`` in ``parts`` partitions: which response each page revisits, if any.
 
     Digests alone decide; pages move once, by page, so that a payload that a third of them share isn't gathered.
     """
     body = pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("sha", F.unhex(F.sha2("html", 256)))
-    small = spool(body.select("page_id", "sha", F.octet_length("html").alias("bytes")), "digests")
-    first = small.where(F.col("bytes") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("times"))
+    small = body.select("page_id", "sha", F.octet_length("html").alias("bytes")).where(F.col("bytes") >= least_bytes)
+    known = spool(small.groupBy("page_id", "sha").agg(F.count(F.lit(1)).alias("copies")), "digests")
+    first = spool(known.groupBy("sha").agg(F.min("page_id").alias("first"), F.sum("copies").alias("times"), F.count(F.lit(1)).alias("ids")).where("times > 1").drop("times"), "first")
     # null ids are told from 0 by a column of their own
     keys = ["key", "none", "sha"]
     keyed = lambda df: df.withColumn("key", F.coalesce("page_id", F.lit(0))).withColumn("none", F.col("page_id").isNull())
-    each = keyed(small.select("page_id", "sha").distinct().join(first.where("times > 1").drop("times"), "sha")).select(*keys, "first", F.lit(True).alias("shared"))
+    each = keyed(join_counted(known.select("page_id", "sha"), first, "sha", "ids")).select(*keys, "first", F.lit(True).alias("shared"))
     # the window and the join below keep this partitioning
     whole = keyed(body).repartition(parts, *keys)
     numbered = whole.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("url")))
@@ -187,8 +211,8 @@ def plan(pages: DataFrame, least_bytes: int, parts: int) -> DataFrame:
     return joined.select("page_id", "url", "html", "copy", (F.coalesce("shared", F.lit(False)) & ~is_first).alias("revisit"), "first")
 
 
-def to_warc_text(planned: DataFrame) -> DataFrame:
-    """One WARC record a row, without its last line end. Pages go through ARC files, odd batches as ARC 1 and even ones as ARC 2."""
+def to_members(planned: DataFrame) -> DataFrame:
+    """One WARC record a row, as a gzip member without its last byte. Pages go through ARC files, odd batches as ARC 1 and even ones as ARC 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         date = datetime(1999, 12, 31, 23, 59, 59, tzinfo=timezone.utc)
@@ -200,9 +224,9 @@ def to_warc_text(planned: DataFrame) -> DataFrame:
                 r = rows[k]  # noqa: B023
                 return record_id(r["page_id"], r["copy"], x.payload), record_id(r["first"], 1, x.payload) if r["revisit"] else None
 
-            yield pa.RecordBatch.from_arrays([pa.array([w[:-2].decode("utf-8") for w in convert(arc, identify)], pa.string())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([member(w)[:-1] for w in convert(arc, identify)], pa.binary())], ["value"])
 
-    return planned.mapInArrow(run, "value string")
+    return planned.mapInArrow(run, "value binary")
 
 
 def read_back(files: DataFrame) -> DataFrame:
@@ -211,13 +235,12 @@ def read_back(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in (c for b in batches for c in b.column("content")):
             out = []
-            if content.is_valid:
-                for head, block in read_warc(gzip.decompress(content.as_py())):
-                    sha, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
-                    if kind == "response" and digest(block) != sha:
-                        raise ValueError(f"damaged payload in {head['warc-record-id']}")
-                    to = head.get("warc-refers-to")
-                    out.append((page_of(head["warc-record-id"][10:-1]), int(head["x-payload-length"]), sha, kind, page_of(to[10:-1]) if to else None))
+            for head, block in (x for m in members(content.as_py() or b"") for x in read_warc(m)):
+                sha, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
+                if kind == "response" and digest(block) != sha:
+                    raise ValueError(f"damaged payload in {head['warc-record-id']}")
+                to = head.get("warc-refers-to")
+                out.append((page_of(head["warc-record-id"][10:-1]), int(head["x-payload-length"]), sha, kind, page_of(to[10:-1]) if to else None))
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
@@ -225,7 +248,7 @@ def read_back(files: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame, at: str, least_bytes: int = 0) -> DataFrame:
-    """Writes ``pages`` (page_id, url, html) as WARC files below ``at``; returns what reading them back gives.
+    """Writes ``pages`` (page_id, url, html) as gzipped WARC files below ``at``; returns what reading them back gives.
 
     A null html is an empty payload. Of equal payloads of at least ``least_bytes`` the smallest page_id is the
     response; among repeated rows of that page, the first by url. Null page_ids come last, and are written. An
@@ -233,8 +256,9 @@ def archive(pages: DataFrame, at: str, least_bytes: int = 0) -> DataFrame:
     """
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     planned = plan(pages, least_bytes, blocks_for(total, FILE_BYTES, least=8))
-    to_warc_text(planned).write.option("lineSep", "\r\n").option("compression", "gzip").text(at)
-    return read_back(pages.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(at).select("content"))
+    # the text writer writes bytes as they are, with a line end after each record: the last byte of its member
+    to_members(planned).select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(at)
+    return read_back(pages.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(at).select("content"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,12 +185,24 @@ def test_archives(spark, pages, tmp_path):
         responses = [r for r in same if r.record_type == "response"]
         assert [r.page_id for r in responses] == [least]
         assert all(r.refers_to == least for r in same if r.record_type == "revisit") and responses[0].refers_to is None
-    files = list(tmp_path.glob("warc/*.gz"))
+    files = list(tmp_path.glob("warc/part-*"))
     records = [x for f in files for x in archives.read_warc(gzip.decompress(f.read_bytes()))]
+    # each record is a gzip member of its own
+    assert all(len(list(archives.read_warc(m))) == 1 for f in files for m in archives.members(f.read_bytes()))
     assert len(records) == len(pages) and Counter(b.decode() for h, b in records if h["warc-type"] == "response") == Counter({(h or "") for _, _, h in pages})
     assert len({h["warc-record-id"] for h, _ in records}) == len(records)
 
 
+def test_members_of_any_length():
+    rng = random.Random(3)
+    parts = [b"", b"a", rng.randbytes(100_000), b"x" * (1 << 24), b"y" * 70_000, b"z" * ((1 << 24) + 5)]
+    files = b"".join(archives.member(p) for p in parts)
+    assert gzip.decompress(files) == b"".join(parts) and all(archives.member(p)[-1] == 0 for p in parts)
+    assert [m for m in archives.members(files) if m] == [p for p in parts if p]
+    with pytest.raises(ValueError):
+        list(archives.members(files[:-9]))
+
+
 def test_only_long_payloads_are_revisited(spark, pages, tmp_path):
     rows = archives.archive(spark.createDataFrame(pages, PAGES), f"file://{tmp_path}/warc", 1 << 20).collect()
     assert {r.record_type for r in rows} == {"response"} and len(rows) == len(pages)
