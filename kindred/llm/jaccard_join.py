@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def by_size(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes of text."""
-    size = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(column).cast(pa.large_string())], np.int64)
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(size) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):

@@ -7,15 +7,17 @@ positions would move each text hundreds of times, so positions are thinned out w
   windows have equal anchors, so only suffixes that begin with equal grams at their anchors can repeat.
   Neighbouring windows with one anchor form a stretch.
 * Stretches are range-partitioned by the leading bytes of their anchored suffixes, with splitters from a sample,
-  and sorted in each bucket. A gram that is alone ends there. Stretches that are equal as a whole are repeated as
-  a whole. What is left are the edges of repeats: stretches that share a gram but not the whole string.
+  and sorted in each bucket by two hashes of 64 bits, of different kinds: of the gram and of the whole stretch. A
+  gram that is alone ends there. Stretches that agree in both are repeated as a whole; inside a batch their
+  bytes are compared, too. What is left are the edges of repeats: stretches that share a gram but not the whole string.
 * The suffixes at all windows of these edges are range-partitioned in the same way, sorted in each bucket by
   multikey quicksort over 8-byte words, and neighbours that agree in ``length`` bytes are repeats.
 
-Splitters cut between distinct leading strings and never inside one, so equal windows always meet in one bucket
-and the comparison across a bucket's boundary has nothing left to find. What would be large there is made small
-before: equal stretches or windows of one batch travel as one, and the windows of a gram that very many edges
-share are dealt by their own leading bytes instead of the gram's.
+Splitters cut between distinct leading strings. A string that is several splitters at once, being so frequent,
+has as many buckets, among which its suffixes are dealt by what equal windows have in common. So equal windows always
+meet in one bucket and the comparison across a bucket's boundary has nothing left to find. What would be large
+there is made small before: equal stretches or windows of one batch travel as one, and the windows of a gram that
+very many edges share are dealt by themselves instead of by the gram.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.common import blocks_for, pick, spool, table, text_of
 from kindred.llm.jaccard_join import by_size, mix
+from kindred.llm.toxicity import spread
 
 LENGTH, GRAM, LEAD = 200, 100, 16
 SLICE, BATCH, BUCKET = 1 << 20, 16 << 20, 16 << 20
@@ -66,14 +70,19 @@ class Stretches:
             inverse[0] = 1
             inverse = np.cumprod(inverse, dtype=np.uint64)
             hashes = mix((prefix[gram:] - prefix[:-gram]) * inverse[: n - gram + 1])
-        # least hash of each span by blocks: the least to the left and to the right of each block's end
-        low = np.uint64((1 << 27) - 1)
-        key = hashes & ~low | np.arange(len(hashes), dtype=np.uint64)
+        # least hash of each span by blocks of that length: the least to the left and to the right of each block's end.
+        # Low bits are the place in the block, so of equal hashes the first is least, and so is the block that comes first
+        bits = np.uint64(span.bit_length())
+        low = (np.uint64(1) << bits) - np.uint64(1)
+        place = np.arange(len(hashes), dtype=np.uint64) % np.uint64(span)
+        key = hashes & ~low | place
         key = np.concatenate([key, np.full(-len(key) % span, np.iinfo(np.uint64).max)]).reshape(-1, span)
-        left = np.minimum.accumulate(key, 1).ravel()
-        right = np.minimum.accumulate(key[:, ::-1], 1)[:, ::-1].ravel()
-        anchor = (np.minimum(right[:windows], left[span - 1 : span - 1 + windows]) & low).astype(np.int64)
+        left = np.minimum.accumulate(key, 1).ravel()[span - 1 : span - 1 + windows]
+        right = np.minimum.accumulate(key[:, ::-1], 1)[:, ::-1].ravel()[:windows]
         at = np.arange(windows)
+        first = right >> bits <= left >> bits
+        anchor = (np.where(first, right, left) & low).astype(np.int64) + np.where(first, at, at + span - 1) // span * span
+        del key, left, right, first, place
         doc = np.searchsorted(self.ends, at, side="right")
         inside = at + length <= self.ends[doc]
         at, anchor, doc = at[inside], anchor[inside], doc[inside]
@@ -84,9 +93,8 @@ class Stretches:
         self.count = np.diff(np.append(first, len(at)))
         self.gram = hashes[self.anchor]
         with np.errstate(over="ignore"):
-            end = self.start + self.count - 1 + length
-            whole = (prefix[end] - prefix[self.start]) * inverse[self.start]
-            self.whole = mix(whole + mix(((self.anchor - self.start) << 16 | self.count).astype(np.uint64)))
+            text, end = self.buf.tobytes(), (self.start + self.count - 1 + length).tolist()
+            self.whole = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(self.start.tolist(), end)), np.uint64, len(end))
 
     def leads(self, at: np.ndarray) -> np.ndarray:
         """The LEAD bytes at each place, as byte strings."""
@@ -94,6 +102,12 @@ class Stretches:
         return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, LEAD)[at]).view(f"S{LEAD}").ravel()
 
 
+def bucket_of(splitters: np.ndarray, lead: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """The bucket of each lead; leads that are several splitters at once are dealt by ``what`` among as many buckets."""
+    low, high = np.searchsorted(splitters, lead, side="left"), np.searchsorted(splitters, lead, side="right")
+    return np.where(high - low > 1, low + 1 + (what % np.maximum(1, high - low).astype(np.uint64)).astype(np.int64), high)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
 
@@ -133,11 +147,44 @@ def joined(start: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.nd
     return s[first], s[last] + c[last] - s[first], d[first]
 
 
+def pieces(texts: list[str], length: int, most: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """The texts in bytes, those of over ``most`` windows in pieces that overlap by a window less a byte; which text each piece is of, and from where on."""
+    raw, owner, skip, size = [], [], [], 0
+    for k, t in enumerate(texts):
+        whole = t.encode("utf-8", "replace")
+        for at in range(0, max(1, len(whole) - length + 1), most):
+            if size >= most:
+                yield raw, np.array(owner), np.array(skip)
+                raw, owner, skip, size = [], [], [], 0
+            raw.append(whole[at : at + most + length - 1])
+            owner.append(k)
+            skip.append(at)
+            size += len(raw[-1])
+    if raw:
+        yield raw, np.array(owner), np.array(skip)
+
+
+def check(text: np.ndarray, place: np.ndarray, count: np.ndarray, order: np.ndarray, first: np.ndarray, length: int) -> None:
+    """Compares the bytes of each stretch with those of the first that has the same hashes."""
+    a, b = order, order[first]
+    other = np.flatnonzero(a != b)
+    a, b = a[other], b[other]
+    size = count[a] + length - 1
+    if (size != count[b] + length - 1).any():
+        raise ValueError("two stretches of different lengths have the same hashes")
+    for low in range(0, len(a), 4096):
+        some = slice(low, low + 4096)
+        if (text[spread(place[a[some]], size[some])] != text[spread(place[b[some]], size[some])]).any():
+            raise ValueError("two stretches have the same hashes")
+
+
 def find_anchors(docs: DataFrame, splitters: np.ndarray, length: int, gram: int) -> DataFrame:
     """``bucket, blob``: the stretches of all texts, dealt by the leading bytes at their anchors."""
 
     def dealt(parts: list[tuple], turn: int) -> pa.RecordBatch:
         ids, marks, gram, whole, start, anchor, count, lead = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 3, 5, 6, 7, 8))
+        text, before = np.concatenate([p[9] for p in parts]), np.cumsum([0, *(len(p[9]) for p in parts)])
+        place = np.concatenate([p[10] + n for p, n in zip(parts, before)])
         base = np.cumsum([0, *(len(p[0]) for p in parts)])
         doc = np.concatenate([p[4] + n for p, n in zip(parts, base)])
         order, _, new = repeats(gram, whole)
@@ -146,8 +193,9 @@ def find_anchors(docs: DataFrame, splitters: np.ndarray, length: int, gram: int)
         keep = order[first]  # one of each; the others, and itself, are covered if there are others
         many = np.zeros(len(order), bool)
         many[order] = np.repeat(times > 1, times)
+        check(text, place, count, order, np.repeat(first, times), length)
         done = joined(start[many], count[many], doc[many])
-        bucket = np.searchsorted(splitters, lead[keep], side="right")
+        bucket = bucket_of(splitters, lead[keep], gram[keep])
         sorted_ = np.argsort(bucket, kind="stable")
         own = turn % (len(splitters) + 1)  # the bucket that carries what is known already
         names, blobs = [], []
@@ -166,13 +214,15 @@ def find_anchors(docs: DataFrame, splitters: np.ndarray, length: int, gram: int)
         parts, size, turn = [], 0, 0
         for batch in batches:
             for b in by_size(batch, "t", SLICE):
-                x = Stretches([t.encode("utf-8", "replace") for t in b.column("t").to_pylist()], length, gram)
-                here = x.begins[x.doc]
-                parts.append((b.column("id").to_numpy(), b.column("mark").to_numpy(), x.gram, x.whole, x.doc, x.start - here, x.anchor - here, x.count, x.leads(x.anchor)))
-                size += len(x.buf)
-                if size >= BATCH:
-                    yield dealt(parts, turn)
-                    parts, size, turn = [], 0, turn + 1
+                ids, marks = b.column("id").to_numpy(), b.column("mark").to_numpy()
+                for raw, owner, skip in pieces(b.column("t").to_pylist(), length, SLICE):
+                    x = Stretches(raw, length, gram)
+                    off = skip[x.doc] - x.begins[x.doc]
+                    parts.append((ids, marks, x.gram, x.whole, owner[x.doc], x.start + off, x.anchor + off, x.count, x.leads(x.anchor), x.buf, x.start))
+                    size += len(x.buf)
+                    if size >= BATCH:
+                        yield dealt(parts, turn)
+                        parts, size, turn = [], 0, turn + 1
         if parts:
             yield dealt(parts, turn)
 
@@ -222,35 +272,42 @@ def sort_stretches(rows: pa.Table, crowd: int) -> pa.Table:
     )
 
 
-def cut_edges(rows: DataFrame, splitters: np.ndarray, length: int) -> DataFrame:
-    """``bucket, segment, id, mark, start``: the strings of edges and witnesses, or the single windows of crowded ones."""
+def cut_edges(rows: DataFrame, splitters: np.ndarray, length: int, gram: int) -> DataFrame:
+    """``bucket, segment, id, mark, start, known``: the strings of edges and witnesses, or the single windows of crowded ones."""
+
+    def dealt(out: list[tuple], crowded: dict[bytes, list]) -> pa.RecordBatch:
+        for window, where in crowded.items():
+            # one stands for all of this batch; the others are known repeats and follow without their string
+            out.append((window[:LEAD], xxhash.xxh3_64_intdigest(window), window, *where[0], len(where) > 1))
+            out += [(b"", 0, b"", *w, True) for w in where[1:]]
+        cols = list(zip(*out)) or [()] * 7
+        bucket = bucket_of(splitters, np.array(cols[0], f"S{LEAD}"), np.array(cols[1], np.uint64)).astype(np.int32)
+        # what needs no neighbours is spread evenly
+        bare = np.array([not x for x in cols[2]], bool)
+        bucket[bare] = np.arange(int(bare.sum())) % (len(splitters) + 1)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cols[2], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[3:6]), pa.array(cols[6], pa.bool_())], ["bucket", "segment", "id", "mark", "start", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            out: list[tuple] = []
-            crowded: dict[bytes, list] = {}
+        out, crowded, held = [], {}, 0
+        for b in (x for whole in batches for x in by_size(whole, "z", SLICE)):
             for id_, mark, z, found in zip(*(b.column(c).to_pylist() for c in ("id", "mark", "z", "found"))):
                 text = unzip(z)
                 for f in found:
                     s, n, a = f["start"], f["count"], f["anchor"]
                     if f["kind"] & CROWDED:
                         for w in range(s, s + n):
-                            crowded.setdefault(text[w : w + length], []).append((id_, mark, w))
+                            window = text[w : w + length]
+                            where = crowded.setdefault(window, [])
+                            held += 100 + (0 if where else 2 * length)
+                            where.append((id_, mark, w))
                     else:
-                        out.append((text[a : a + LEAD], text[s : s + n - 1 + length], id_, mark, s))
-            for window, where in crowded.items():
-                # two places suffice to tell that it is repeated; the others of this batch follow without their string
-                out += [(window[:LEAD], window, *w) for w in where[:1]]
-                out += [(window[:LEAD], b"", *w) for w in where[1:]]
-            lead = np.array([o[0] for o in out], f"S{LEAD}") if out else np.zeros(0, f"S{LEAD}")
-            bucket = np.searchsorted(splitters, lead, side="right").astype(np.int32)
-            # what is known already needs no neighbours, so it's spread evenly
-            bare = np.array([not o[1] for o in out], bool)
-            bucket[bare] = np.arange(int(bare.sum())) % (len(splitters) + 1)
-            cols = list(zip(*(o[1:] for o in out))) or [()] * 4
-            multiple = (bare | np.array([len(crowded.get(o[1], ())) > 1 for o in out], bool)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:]), pa.array(multiple, pa.bool_())], ["bucket", "segment", "id", "mark", "start", "known"])
+                        out.append((text[a : a + LEAD], xxhash.xxh3_64_intdigest(text[a : a + gram]), text[s : s + n - 1 + length], id_, mark, s, False))
+                        held += n + 2 * length
+                    if held > BATCH:
+                        yield dealt(out, crowded)
+                        out, crowded, held = [], {}, 0
+        yield dealt(out, crowded)
 
     return rows.mapInArrow(run, "bucket int, segment binary, id long, mark long, start long, known boolean")
 
@@ -258,28 +315,32 @@ def cut_edges(rows: DataFrame, splitters: np.ndarray, length: int) -> DataFrame:
 def multikey_quicksort(words: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Orders the suffixes at ``at`` by ``depth`` words; the order, and which run of equal suffixes each is in.
 
-    ``words[p]`` is the word at byte p. As in multikey quicksort, ties of a word are sorted by the next one; here
-    the ties of all runs are sorted at once.
+    ``words[p]`` is the word at byte p. Each part is split in three by a pivot of its words at its depth: less and
+    greater ones are split again at that depth, equal ones at the next word. All parts take their step at once.
     """
-    order = np.argsort(words[at], kind="quicksort")
-    run = np.zeros(len(at), np.int64)
-    key = words[at][order]
-    run[1:] = np.cumsum(key[1:] != key[:-1])
-    for d in range(1, depth):
-        size = np.bincount(run, minlength=1)
-        tied = np.flatnonzero(size[run] > 1)
-        if not len(tied):
-            break
-        key = words[at[order[tied]] + 8 * d]
-        inner = np.lexsort((key, run[tied]))
-        order[tied] = order[tied][inner]
-        key, of = key[inner], run[tied]
-        split = np.zeros(len(at), bool)
-        split[tied[1:]] = (of[1:] == of[:-1]) & (key[1:] != key[:-1])
-        new = np.zeros(len(at), bool)
-        new[1:] = run[1:] != run[:-1]
-        run = np.cumsum(new | split)
-    return order, run
+    order, begins = np.arange(len(at)), np.zeros(len(at) + 1, bool)
+    begins[0] = True
+    low, high, level = np.array([0]), np.array([len(at)]), np.array([0])
+    while True:
+        open_ = (high - low > 1) & (level < depth)
+        low, high, level = low[open_], high[open_], level[open_]
+        if not len(low):
+            return order, np.cumsum(begins[:-1]) - 1
+        size = high - low
+        first = np.cumsum(size) - size
+        here, part = spread(low, size), np.repeat(np.arange(len(low)), size)
+        was = order[here]
+        key = words[at[was] + 8 * level[part]]
+        three = np.sort(np.stack([key[first], key[first + size // 2], key[first + size - 1]]), 0)
+        pivot = three[1][part]
+        side = [key < pivot, key == pivot, key > pivot]
+        count = [np.add.reduceat(x, first, dtype=np.int64) for x in side]
+        begin = [low, low + count[0], low + count[0] + count[1]]
+        for x, c, b in zip(side, count, begin):
+            order[spread(b, c)] = was[x]
+        for b, e in zip(begin[1:], (high, high)):
+            begins[b[b < e]] = True
+        low, high, level = np.concatenate(begin), np.concatenate([begin[1], begin[2], high]), np.concatenate([level, level + 1, level])
 
 
 def sort_suffixes(length: int):
@@ -321,13 +382,12 @@ def cover(rows: DataFrame, length: int) -> DataFrame:
                 rest, runs = text, []
                 if start.is_valid and len(start.values):
                     s, c = start.values.to_numpy(), count.values.to_numpy()
-                    change = np.zeros(len(text) + 1, np.int64)
-                    np.add.at(change, s, 1)
-                    np.add.at(change, s + c - 1 + length, -1)
-                    gone = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
-                    first, last = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(gone[:-1] & ~gone[1:])
-                    runs = [{"start": int(x), "bytes": int(y - x)} for x, y in zip(first, last)]
-                    rest = np.frombuffer(text, np.uint8)[~gone[1:-1]].tobytes()
+                    order = np.argsort(s, kind="stable")
+                    s, reach = s[order], np.maximum.accumulate((s + c - 1 + length)[order])
+                    first = np.flatnonzero(np.concatenate([[True], s[1:] > reach[:-1]]))
+                    begin, end = s[first].tolist(), reach[np.append(first[1:], len(s)) - 1].tolist()
+                    runs = [{"start": x, "bytes": y - x} for x, y in zip(begin, end)]
+                    rest = b"".join(text[x:y] for x, y in zip([0, *end], [*begin, len(text)]))
                 sizes.append(len(text))
                 kept.append(rest)
                 spans.append(runs)
@@ -361,9 +421,10 @@ def sample_leads(docs: DataFrame, rows: int, size: int, length: int, gram: int)
         r = np.random.default_rng(3)
         for batch in batches:
             for b in by_size(batch, "t", SLICE):
-                x = Stretches([t.encode("utf-8", "replace") for t in b.column("t").to_pylist()], length, gram)
-                lead = x.leads(x.anchor[r.random(len(x.anchor)) < share])
-                yield pa.RecordBatch.from_arrays([pa.array(lead.tolist(), pa.binary())], ["lead"])
+                for raw, _, _ in pieces(b.column("t").to_pylist(), length, SLICE):
+                    x = Stretches(raw, length, gram)
+                    lead = x.leads(x.anchor[r.random(len(x.anchor)) < share])
+                    yield pa.RecordBatch.from_arrays([pa.array(lead.tolist(), pa.binary())], ["lead"])
 
     got = docs.sample(docs_share, seed=3).mapInArrow(run, "lead binary").collect()
     return np.sort(np.array([r.lead for r in got], f"S{LEAD}"))
@@ -381,11 +442,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     many, total = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
     buckets = blocks_for(total or 0, BUCKET)
     leads = sample_leads(rows, many, total or 0, length, gram)
-    splitters = np.unique(leads[[k * len(leads) // buckets for k in range(1, buckets)]]) if len(leads) else np.zeros(0, f"S{LEAD}")
+    splitters = leads[[k * len(leads) // buckets for k in range(1, buckets)]] if len(leads) else np.zeros(0, f"S{LEAD}")
     found = spool(find_anchors(rows, splitters, length, gram).groupBy("bucket").applyInArrow(lambda rows: sort_stretches(rows, crowd), FOUND), "stretches")
     text = zipped(rows)
     marked = found.where("kind > 0").groupBy("id", "mark").agg(F.collect_list(F.struct("start", "count", "anchor", "kind")).alias("found"))
-    edges = cut_edges(text.join(marked, ["id", "mark"]).select("id", "mark", "z", "found"), splitters, length)
+    edges = cut_edges(text.join(marked, ["id", "mark"]).select("id", "mark", "z", "found"), splitters, length, gram)
     late = edges.groupBy("bucket").applyInArrow(sort_suffixes(length), "id long, mark long, start long, count long")
     covered = found.where(f"kind % {CROWDED} <> {EDGE}").select("id", "mark", "start", "count").unionByName(late)
     spans = covered.groupBy("id", "mark").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))

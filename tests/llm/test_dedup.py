@@ -207,6 +207,34 @@ def test_repeats_of_many_lengths(spark, monkeypatch, crowd):
         assert removed(df, length=length, gram=gram, crowd=crowd) == Counter((i, *w) for (i, _), w in zip(rows, want))
 
 
+def test_frequent_leads_have_several_buckets(spark, monkeypatch):
+    lead = np.array([b"b" * 16] * 50 + [b"a" * 16, b"c" * 16], "S16")
+    splitters = np.array([b"a" * 16] + [b"b" * 16] * 4 + [b"bz"], "S16")
+    bucket = suffix_dedup.bucket_of(splitters, lead, np.arange(52, dtype=np.uint64))
+    assert set(bucket[:50].tolist()) == {2, 3, 4, 5} and bucket[50:].tolist() == [1, 6]
+    # every 60 bytes of these texts begin with the same 16: they share leads and yet not all their repeats
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 300)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 1000)
+    rng = random.Random(3)
+    pool = ["same leading text" + "".join(rng.choice("abcd") for _ in range(43)) for _ in range(30)]
+    rows = [(k, "".join(rng.choice(pool) for _ in range(rng.randrange(8)))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for crowd in (4096, 1):
+        want = brute_cover([t.encode() for _, t in rows], 40)
+        assert removed(df, length=40, gram=20, crowd=crowd) == Counter((i, *w) for (i, _), w in zip(rows, want))
+
+
+def test_long_texts_go_in_pieces():
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab") for _ in range(n)) for n in (0, 30, 999, 5, 60, 61)]
+    windows = Counter()
+    for raw, owner, skip in suffix_dedup.pieces(texts, 20, 50):
+        assert sum(map(len, raw)) < 50 + 50 + 19 + 1
+        for r, k, at in zip(raw, owner, skip):
+            windows.update((int(k), int(at) + i, r[i : i + 20]) for i in range(max(0, len(r) - 19)))
+    assert windows == Counter((k, i, t[i : i + 20].encode()) for k, t in enumerate(texts) for i in range(max(0, len(t) - 19)))
+
+
 def test_multikey_quicksort_orders_suffixes():
     rng = np.random.default_rng(1)
     buf = rng.integers(97, 99, 400, dtype=np.uint8)
