@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.errors import ValidationError
-from kindred.plans.scratch import numbered, spool
+from kindred.plans.scratch import join_counted, numbered, spool
 
 
-def pull_to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
+def pull_to_least(edges: DataFrame, larger_only: bool, total: int) -> DataFrame:
     """For each u: its larger neighbours (large-star) or smaller ones and itself (small-star) point to the smallest node around u.
 
-    The smallest node is an aggregate joined back, so a node with very many neighbours is never gathered in one place.
+    The smallest node is an aggregate joined back, and broadcast for nodes with very many neighbours, so these are never
+    gathered in one place. There are at most ``total`` neighbours of all nodes.
     """
     if larger_only:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = join_counted(both, least, "u", "n", total)
     if larger_only:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -36,7 +37,7 @@ def connected_components(edges: DataFrame, name: str = "edges") -> DataFrame:
         if seen == before or not seen[0]:
             break
         before, k = seen, k + 1
-        now = spool(pull_to_least(pull_to_least(now, True), False), f"{name}{k}")
+        now = spool(pull_to_least(pull_to_least(now, True, 2 * seen[0]), False, 2 * seen[0]), f"{name}{k}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
