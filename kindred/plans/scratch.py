@@ -50,17 +50,18 @@ def hot_bound(total: int) -> int:
     return max(HOT, total >> KEYS_BITS)
 
 
-def join_counted(rows: DataFrame, found: DataFrame, key: str, count: str, total: int | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, found: DataFrame, key: str | list[str], count: str, total: int | None = None) -> DataFrame:
     """``rows`` joined to ``found``, which has a row for each ``key`` and in ``count`` how many of ``rows`` have it.
 
     The keys that have more than a 2^16th of all ``total`` rows are fewer than 2^16: their rows of ``found`` are
     broadcast, so the rows that share such a key stay where they are. The others are joined by key. Both tables are
     read twice.
     """
+    keys = [key] if isinstance(key, str) else key
     most = hot_bound(rows.count() if total is None else total)
     hot = F.broadcast(found.where(F.col(count) > most))
-    cold = rows.join(hot.select(key), key, "left_anti").join(found.where(F.col(count) <= most), key)
-    return rows.join(hot, key).unionByName(cold)
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(found.where(F.col(count) <= most), keys)
+    return rows.join(hot, keys).unionByName(cold)
 
 
 def numbered(df: DataFrame, order: list[str | Column], into: str = "nth") -> DataFrame:
