@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kindred.llm.common import blocks_for, join_counted, pick, shared_dir, spool, table
+from kindred.llm.common import blocks_for, fresh, join_counted, pick, spool, table
 from kindred.llm.jaccard_join import by_size
 
 #: Fixed values of the formats.
@@ -262,7 +262,7 @@ def archive(pages: DataFrame, at: str, least_bytes: int = 0) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/kindred-{uuid.uuid4().hex}/warc")
+    return archive(table(spark, sf_dir, "pages"), fresh(spark, "warc"))
 
 
 OP7_SQL = """

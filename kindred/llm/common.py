@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 from pyspark.sql.window import Window
 
-from kindred.plans.scratch import shared_dir, spool  # noqa: F401
+from kindred.plans.scratch import fresh, hot_bound, join_counted, spool  # noqa: F401
 
 #: What splits words: ASCII white space only, the same class everywhere in this package.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,22 +51,6 @@ def with_rows(docs: DataFrame, chosen: DataFrame, marked: Column | None = None)
     return joined.withColumn(t, F.explode(F.sequence(F.lit(1).cast("long"), F.col(t)))).select(*names)
 
 
-#: Rows of one key that one task may join, at least; and the power of two of keys that are broadcast at most.
-HOT, KEYS_BITS = 256, 16
-
-
-def join_counted(rows: DataFrame, found: DataFrame, key: str, count: str) -> DataFrame:
-    """``rows`` joined to ``found``, which has a row for each ``key`` and in ``count`` how many of ``rows`` have it.
-
-    Fewer than 2^16 keys can each have more than a 2^16th of all rows: their rows of ``found`` are broadcast, so
-    the rows that share such a key stay where they are. The others are joined by key. Both tables are read twice.
-    """
-    most = max(HOT, rows.count() >> KEYS_BITS)
-    hot = F.broadcast(found.where(F.col(count) > most))
-    cold = rows.join(hot.select(key), key, "left_anti").join(found.where(F.col(count) <= most), key)
-    return rows.join(hot, key).unionByName(cold)
-
-
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -1,11 +1,16 @@
 """N-gram Jaccard self-join by chosen paths.
 
-Documents are sets of hashed word 5-grams. A path picks shared grams at random (minima under random hash
-functions) and sends sets that have the same ones on together; it goes on while a bucket is large, and small
-buckets are compared outright. One run follows a pair of similarity s along d picks with chance s^d; runs are
-repeated until a pair at the threshold is met with the target recall. Buckets only nominate: sets that look
-alike by their sketches become one candidate component, and inside these every pair is verified by its grams.
-No pair is written anywhere: buckets give a spanning forest, verification gives counts and another forest.
+Documents are sets of hashed word 5-grams; TOKENS minima under random hash functions stand for a set's tokens, and
+two sets share one of them with a chance that is their similarity. A run splits all sets by sampled tokens: in a
+bucket ``1 / threshold`` tokens are chosen on average, by a hash of the path so far, and sets that share a chosen token
+go on together in a bucket of it. A small bucket is compared outright. One that hardly shrank when it was split
+is a family of similar sets, and is tied together as a whole. All others are split again, however often that takes,
+as each time they halve. Runs are repeated until a pair at the threshold has been met with the target recall, which is
+computed, and then measured with sample sets that are compared with all others; more runs follow while any is missed.
+
+Buckets only nominate: sets whose sketches allow a similarity at the threshold, or that are tied, become a candidate
+component. Inside these, tiles of bounded size compare sketches again, and sets with a partner there are
+verified by their grams. No pair is written anywhere: tiles give counts and a spanning forest.
 """
 
 from __future__ import annotations
@@ -16,22 +21,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import mark, pick, spool, table, with_rows
+from kindred.llm.common import hot_bound, join_counted, mark, mark_of_row, spool, table, with_rows
 from kindred.operators.cluster import connected_components as components
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-DEPTH = 3  # picks of a path at most
-SMALL = 32  # a bucket that is compared outright
+TOKENS = 48  # tokens that paths choose from
 SKETCH = 64  # bytes of a sketch
-ALIKE, SAME = 26, 60  # equal bytes of two sketches: maybe over the threshold, and so near that one can stand for the other
-SALT_ROWS = 4096  # rows of a bucket that one task compares
+LEVELS = 4  # splits of a path that the number of runs allows for
+SMALL = 32  # a bucket that is compared outright
 BLOCK = 256  # sets of a component that one task verifies against as many
+MISSED = 1e-6  # chance that the sketches of two sets at the threshold agree in fewer bytes than ``bound`` asks for
+PROBES = 64  # sample sets that recall is measured with
+MORE = 8  # times that runs are added at most, as long as a probe misses a partner
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,23 +121,56 @@ def set_keys(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(np.where(sizes > 0, s, np.uint64(0)).astype(np.int64) for s in sums)
 
 
-def sketch(docs: DataFrame, n: int, picks: int) -> DataFrame:
+def sketch(docs: DataFrame, n: int, marked: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in by_size(whole):
                 grams, sizes = gram_sets(b.column("text").to_pylist(), n)
                 k1, k2 = set_keys(grams, sizes)
-                least = np.zeros((len(sizes), picks + SKETCH), np.uint64)
-                least[sizes > 0] = minima(grams, sizes, picks + SKETCH)
-                picked = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * picks, pa.int32()), pa.array(np.ascontiguousarray(least[:, :picks]).ravel().astype(np.int64)))
-                bytes_ = (mix(least[:, picks:]) & np.uint64(255)).astype(np.uint8)
+                least = np.zeros((len(sizes), TOKENS + SKETCH), np.uint64)
+                least[sizes > 0] = minima(grams, sizes, TOKENS + SKETCH)
+                tokens = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * TOKENS, pa.int32()), pa.array(np.ascontiguousarray(least[:, :TOKENS]).ravel().astype(np.int64)))
+                bytes_ = (mix(least[:, TOKENS:]) & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("mark"), pa.array(sizes, pa.int64()), pa.array(k1), pa.array(k2), picked, pa.array([r.tobytes() for r in bytes_], pa.binary())],
-                    ["doc_id", "mark", "n", "k1", "k2", "picks", "sketch"],
+                    [b.column("doc_id"), b.column("mark"), pa.array(sizes, pa.int64()), pa.array(k1), pa.array(k2), tokens, pa.array([r.tobytes() for r in bytes_], pa.binary())],
+                    ["doc_id", "mark", "n", "k1", "k2", "tokens", "sketch"],
                 )
 
-    marked = pick(docs, "doc_id", "text").withColumn("mark", mark())
-    return marked.mapInArrow(run, "doc_id long, mark long, n long, k1 long, k2 long, picks array<long>, sketch binary")
+    return docs.select("doc_id", "text", marked.alias("mark")).mapInArrow(run, "doc_id long, mark long, n long, k1 long, k2 long, tokens array<long>, sketch binary")
+
+
+def bound(threshold: float) -> int:
+    """Equal bytes of two sketches at least, for a pair at ``threshold``, but for a chance of MISSED."""
+    below = 0.0
+    for k in range(SKETCH + 1):
+        below += math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)
+        if below > MISSED:
+            return k
+    return SKETCH
+
+
+def runs_for(threshold: float, recall: float) -> int:
+    """Runs in which a pair at ``threshold`` stays together along some path of LEVELS splits, in one of them at least, with the chance ``recall``.
+
+    Of the ``1 / threshold`` tokens that are chosen on average the last is chosen with a chance; each is shared with
+    the chance ``threshold``.
+    """
+    sure, extra = int(1 / threshold), 1 / threshold - int(1 / threshold)
+    met = 1.0
+    for _ in range(LEVELS):
+        lost = 1 - threshold * met
+        met = 1 - lost**sure * (1 - extra + extra * lost)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met))) if met < 1 else 1
+
+
+def split(rows: DataFrame, threshold: float) -> DataFrame:
+    """``sid, bucket, parent, sketch``: rows (``sid, bucket, size, tokens, sketch``) in the buckets of the tokens that their bucket chooses."""
+    sure, extra = int(1 / threshold), 1 / threshold - int(1 / threshold)
+    draw = lambda j: F.xxhash64("bucket", j)
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(sure)), lambda j: (j < sure) | (F.pmod(draw(j + 1000), F.lit(1 << 20)) < int(extra * (1 << 20))))
+    at = F.explode(F.array_distinct(F.transform(chosen, lambda j: F.pmod(draw(j), F.lit(TOKENS)).cast("int"))))
+    each = rows.select("sid", "bucket", F.col("size").alias("parent"), "tokens", "sketch", at.alias("at"))
+    return each.select("sid", F.xxhash64("bucket", "at", F.get("tokens", F.col("at"))).alias("bucket"), "parent", "sketch")
 
 
 def find(parent: list[int], x: int) -> int:
@@ -140,98 +180,142 @@ def find(parent: list[int], x: int) -> int:
     return x
 
 
-class Leaders:
-    """Sets of one bucket, met one after another: those unlike all leaders so far become leaders.
+def equal_bytes(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+
 
-    A set is tied to the leaders it may be similar to. One that is nearly the same as a leader needs no place of
-    its own: whatever is similar enough to it is also tied to that leader, by the triangle inequality.
+def meet(rows: DataFrame, least: int) -> DataFrame:
+    """Compares the rows (``sid, bucket, size, leader, sketch``, by bucket) of small buckets, whose ``size`` is null.
+
+    ``u, v`` are pairs whose sketches agree in ``least`` bytes; rows of other buckets are passed on as ``u, bucket, size``.
     """
 
-    def __init__(self) -> None:
-        self.ids, self.sketches, self.parent, self.n = [], np.empty((64, SKETCH), np.uint8), [], 0
-
-    def add(self, sid: int, sk: np.ndarray) -> int | None:
-        """The leader that ``sid`` is tied to, if any."""
-        like = (self.sketches[: self.n] == sk).sum(1) if self.n else np.zeros(0, int)
-        near = np.flatnonzero(like >= ALIKE)
-        for x in near[1:]:
-            a, b = find(self.parent, int(near[0])), find(self.parent, int(x))
-            self.parent[max(a, b)] = min(a, b)
-        if len(near) and like.max() >= SAME:
-            return self.ids[near[0]]
-        if self.n == len(self.sketches):
-            self.sketches = np.concatenate([self.sketches, np.empty_like(self.sketches)])
-        self.sketches[self.n] = sk
-        self.ids.append(sid)
-        self.parent.append(find(self.parent, int(near[0])) if len(near) else self.n)
-        self.n += 1
-        return None
-
-    def edges(self) -> Iterator[tuple[int, int]]:
-        for k in range(self.n):
-            top = find(self.parent, k)
-            if top != k:
-                yield self.ids[k], self.ids[top]
-
-
-def meet(rows: DataFrame) -> DataFrame:
-    """``u, v`` edges, and with u = v the leaders: sets of each (bucket, salt) of ``bucket, salt, sid, sketch``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["sid", "bucket", "sketch"]
+        held = None
+        for b in batches:
+            size = b.column("size")
+            passed = b.filter(size.is_valid())
+            if passed.num_rows:
+                none = pa.nulls(passed.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([passed.column("sid"), none, passed.column("bucket"), passed.column("size")], ["u", "v", "bucket", "size"])
+            here = b.filter(size.is_null()).select(names)
+            bucket, sid = here.column("bucket").to_numpy(), here.column("sid").to_numpy()
+            sk = equal_bytes(here.column("sketch").to_pylist())
+            if held is not None:
+                bucket, sid, sk = np.concatenate([held[0], bucket]), np.concatenate([held[1], sid]), np.concatenate([held[2], sk])
+            for k in range(1, SMALL):
+                i = np.flatnonzero(bucket[k:] == bucket[:-k])
+                if not len(i):
+                    break
+                i = i[(sk[i] == sk[i + k]).sum(1) >= least]
+                i = i[sid[i] != sid[i + k]]
+                if len(i):
+                    none = pa.nulls(len(i), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[i]), pa.array(sid[i + k]), none, none], ["u", "v", "bucket", "size"])
+            # the last bucket may go on in the next batch; what is compared twice is tied twice
+            tail = bucket == bucket[-1] if len(bucket) else np.zeros(0, bool)
+            held = bucket[tail], sid[tail], sk[tail]
+
+    return rows.select("sid", "bucket", "size", "sketch").mapInArrow(run, "u long, v long, bucket long, size long")
+
+
+def candidate_edges(content: DataFrame, threshold: float, runs: range) -> DataFrame:
+    """Edges that tie together the sets (``sid, tokens, sketch``) that some bucket of the ``runs`` finds alike."""
+    least, found = bound(threshold), []
+    known = content.select("sid", "tokens", "sketch")
+    total = known.count()
+    each = known.withColumn("bucket", F.explode(F.sequence(F.lit(runs.start).cast("long"), F.lit(runs.stop - 1).cast("long")))).withColumn("size", F.lit(None).cast("long"))
+    rows, count, level = split(each, threshold), 2 * total * len(runs), 0
+    while True:
+        large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("leader"), F.max("parent").alias("parent")).where(F.col("size") > SMALL)
+        # a family: half of the parent's rows or more share a token that was chosen blindly
+        large = spool(large.select("bucket", "size", "leader", F.coalesce(2 * F.col("size") >= F.col("parent"), F.lit(False)).alias("family")), f"large{level}")
+        most = hot_bound(count)
+        hot = rows.join(F.broadcast(large.where(F.col("size") > most)), "bucket")
+        cold = rows.join(F.broadcast(large.where(F.col("size") > most).select("bucket")), "bucket", "left_anti").repartition("bucket")
+        cold = cold.join(large.where(F.col("size") <= most), "bucket", "left")
+        tied = lambda df: df.where("family").select(F.col("sid").alias("u"), F.col("leader").alias("v"))
+        sorted_ = cold.where("family is null or not family").sortWithinPartitions("bucket", "sid")
+        met = spool(meet(sorted_, least), f"met{level}")
+        found += [met.where("v is not null").select("u", "v"), tied(hot), tied(cold)]
+        left = met.where("v is null").select(F.col("u").alias("sid"), "bucket", "size").unionByName(hot.where("not family").select("sid", "bucket", "size"))
+        left = spool(left, f"left{level}")
+        count = 2 * left.count()
+        if not count:
+            break
+        rows, level = spool(split(left.join(known, "sid"), threshold), f"split{level}"), level + 1
+    edges = found[0]
+    for f in found[1:]:
+        edges = edges.unionByName(f)
+    return edges.where("u <> v")
+
+
+def missed(content: DataFrame, comps: DataFrame, threshold: float) -> int:
+    """How many of the pairs of a probe and a set that are surely similar, by their sketches, are in different components.
+
+    Probes are the PROBES sets with the least hash of their number; each is compared with all sets.
+    """
+    probes = content.select("sid", "sketch").orderBy(F.xxhash64("sid"), "sid").limit(PROBES).collect()
+    if not probes:
+        return 0
+    ids, sk = np.array([r.sid for r in probes]), equal_bytes([bytes(r.sketch) for r in probes])
+    sure = math.ceil(SKETCH * (threshold + 1) / 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, led, out = None, Leaders(), []
+        for b in batches:
+            sid, own = b.column("sid").to_numpy(), equal_bytes(b.column("sketch").to_pylist())
+            for k, p in enumerate(ids):
+                i = np.flatnonzero((own == sk[k]).sum(1) >= sure)
+                i = i[sid[i] != p]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), p)), pa.array(sid[i])], ["probe", "sid"])
+
+    near = content.select("sid", "sketch").mapInArrow(run, "probe long, sid long")
+    of = comps.where(F.col("node").isin(ids.tolist())).select(F.col("node").alias("probe"), F.col("component").alias("own"))
+    placed = near.join(F.broadcast(of), "probe", "left").join(comps, F.col("sid") == F.col("node"), "left")
+    return placed.where("own is null or component is null or own <> component").count()
+
+
+def nominate(tasks: DataFrame, least: int) -> DataFrame:
+    """``component, a, b, side, sid`` of the rows (``..., sketch``) of each tile that have a partner in it by their sketches."""
+
+    def solve(at: tuple, rows: list[tuple], out: list[tuple]) -> None:
+        sk = equal_bytes([r[2] for r in rows])
+        side = np.array([r[1] for r in rows])
+        across = (side == 1).any()
+        has = np.zeros(len(rows), bool)
+        for low in range(0, len(rows), 64):
+            like = (sk[low : low + 64, None] == sk[None]).sum(2) >= least
+            like[np.arange(len(like)), low + np.arange(len(like))] = False
+            if across:
+                like &= side[low : low + 64, None] != side[None]
+            has |= like.any(0)
+        out.extend((*at, r[1], r[0]) for r, h in zip(rows, has) if h)
 
-        def close() -> None:
-            if at is not None:
-                out.extend((at[0], *e, None) for e in led.edges())
-                if at[2] > 1:
-                    out.extend((at[0], i, i, led.sketches[k].tobytes()) for k, i in enumerate(led.ids))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, out = None, [], []
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*out)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "u", "v", "sketch"])
+            cols = list(zip(*out)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["component", "a", "b", "side", "sid"])
 
         for b in batches:
-            bucket, salt, salts, sid = (b.column(c).to_numpy() for c in ("bucket", "salt", "salts", "sid"))
-            sk = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            for k in range(b.num_rows):
-                here = (int(bucket[k]), int(salt[k]), int(salts[k]))
-                if here != at:
-                    close()
-                    at, led = here, Leaders()
-                to = led.add(int(sid[k]), sk[k])
-                if to is not None:
-                    out.append((here[0], int(sid[k]), to, None))
+            for comp, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("component", "a", "b", "sid", "side", "sketch"))):
+                if (comp, i, j) != at:
+                    if len(rows) > 1:
+                        solve(at, rows, out)
+                    at, rows = (comp, i, j), []
+                rows.append(row)
             if len(out) > 10_000:
                 yield flush()
                 out = []
-        close()
+        if len(rows) > 1:
+            solve(at, rows, out)
         yield flush()
 
-    dealt = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "sid")
-    return dealt.select("bucket", "salt", "salts", "sid", "sketch").mapInArrow(run, "bucket long, u long, v long, sketch binary")
-
-
-def candidate_edges(sets: DataFrame, runs: int) -> DataFrame:
-    """Edges that tie together sets which some bucket finds alike."""
-    path = F.xxhash64("run", F.element_at("picks", (F.col("run") * DEPTH + 1).cast("int")))
-    rows = sets.select("sid", "picks", "sketch", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).withColumn("bucket", path).drop("picks")
-    picks = sets.select("sid", "picks")
-    done = []
-    for depth in range(1, DEPTH + 1):
-        size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        small = f"size <= {SMALL}" if depth < DEPTH else "true"
-        sized = spool(rows.join(size, "bucket"), f"depth{depth}")
-        done.append(sized.where(small))
-        if depth < DEPTH:
-            rows = sized.where(f"not ({small})").drop("size").join(picks, "sid").withColumn("bucket", F.xxhash64("bucket", F.element_at("picks", (F.col("run") * DEPTH + 1 + depth).cast("int")))).drop("picks")
-    every = done[0]
-    for d in done[1:]:
-        every = every.unionByName(d)
-    # a very large bucket is dealt to several tasks, whose leaders then meet
-    salts = F.ceil(F.col("size") / SALT_ROWS)
-    first = spool(meet(every.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("sid"), "salts"))), "met")
-    again = meet(first.where("sketch is not null").select("bucket", F.lit(0).cast("long").alias("salt"), F.lit(1).cast("long").alias("salts"), F.col("u").alias("sid"), "sketch"))
-    return first.where("u <> v").select("u", "v").unionByName(again.where("u <> v").select("u", "v"))
+    dealt = tasks.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "sid")
+    return dealt.select("component", "a", "b", "sid", "side", "sketch").mapInArrow(run, "component long, a long, b long, side int, sid long")
 
 
 def verify(tasks: DataFrame, threshold: float) -> DataFrame:
@@ -296,57 +380,71 @@ def with_grams(rows: DataFrame, n: int) -> DataFrame:
             for b in by_size(whole):
                 grams, sizes = gram_sets(b.column("text").to_pylist(), n)
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("component", "sid", "copies", "nth", "members")), pa.array([grams[e - s : e].tobytes() for s, e in zip(sizes, ends)], pa.binary())], ["component", "sid", "copies", "nth", "members", "grams"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("sid", "copies")), pa.array([grams[e - s : e].tobytes() for s, e in zip(sizes, ends)], pa.binary())], ["sid", "copies", "grams"])
+
+    return rows.select("sid", "copies", "text").mapInArrow(run, "sid long, copies long, grams binary")
 
-    return rows.select("component", "sid", "copies", "nth", "members", "text").mapInArrow(run, "component long, sid long, copies long, nth long, members long, grams binary")
 
+def candidate_components(content: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """``node, component`` of the sets that have candidates: runs of chosen paths until the recall is reached, as computed and as measured."""
+    runs, edges = runs_for(threshold, recall), None
+    for k in range(MORE + 1):
+        got = candidate_edges(content, threshold, range(k * runs, (k + 1) * runs))
+        edges = spool((got if edges is None else edges.unionByName(got)).distinct(), "candidates")
+        comps = spool(components(edges), "components")
+        if not missed(content, comps, threshold):
+            break
+    return comps
 
-def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """``doc_id, class_id, n_links, stays`` and ``mark`` (hash of id and text) for each input row.
+
+def similarity_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, marked: Column | None = None) -> DataFrame:
+    """``doc_id, class_id, n_links, stays`` and ``mark`` (``marked``, by default a hash of id and text) for each input row.
 
     ``n_links`` counts the other rows whose Jaccard similarity of word n-gram sets is at least ``threshold``, equal
     sets included; ``class_id`` is the smallest doc_id among the documents that chains of links reach. A text
     without words, or null, has no grams and no links: its class is itself (null ids stay null).
-    ``stays`` holds for one row of each class, that with the smallest doc_id. Repeated rows are
-    copies of each other. An empty table gives an empty result. Extra columns are ignored.
+    ``stays`` holds for one row of each class, that with the smallest doc_id, of several with that id the one with the
+    smallest mark. Repeated rows are copies of each other. An empty table gives an empty result. Extra columns are ignored.
     """
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH)))
-    rows = spool(sketch(docs, n, runs * DEPTH).withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    marked = mark() if marked is None else marked
+    rows = spool(sketch(docs, n, marked).withColumn("uid", F.monotonically_increasing_id()), "sketches")
     keyed = rows.where("n > 0")
     sets = spool(
-        keyed.groupBy("k1", "k2").agg(F.min("uid").alias("sid"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "uid")).alias("least")),
+        keyed.groupBy("k1", "k2").agg(F.min("uid").alias("sid"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "mark", "uid")).alias("least")),
         "sets",
     )
-    content = spool(sets.select("sid").join(keyed, F.col("sid") == F.col("uid")).select("sid", "mark", "k1", "k2", "picks", "sketch"), "content")
-    comps = spool(components(candidate_edges(content, runs)), "components")
+    content = spool(sets.select("sid", "copies").join(keyed, F.col("sid") == F.col("uid")).select("sid", "copies", "mark", "tokens", "sketch"), "content")
+    comps = candidate_components(content, threshold, recall)
     members = comps.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    # a place of its own in the component for each set: dealt by hash, so a large component isn't numbered in one task
+    # a block of its component for each set, by hash, so a large component isn't numbered in one task
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK))
-    placed = comps.join(members, "component").withColumn("nth", F.pmod(F.xxhash64("node"), blocks))
-    wanted = placed.join(sets, F.col("node") == F.col("sid")).join(content.select("sid", "mark"), "sid").select("component", "sid", "copies", "nth", "members", "k1", "k2", "mark")
-    marked = pick(docs, "doc_id", "text").withColumn("mark", mark()).select("mark", "text")
-    # rows that are repeated have the same mark and text: one is enough
-    found = with_grams(marked.join(wanted, "mark").dropDuplicates(["sid"]), n)
-    found = spool(found, "grams").withColumn("blocks", blocks)
+    placed = join_counted(comps, members, "component", "members").withColumn("blocks", blocks).withColumn("nth", F.pmod(F.xxhash64("node"), "blocks"))
+    placed = placed.join(content.select("sid", "sketch"), F.col("node") == F.col("sid"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    tasks = found.select("component", "sid", "copies", "nth", "grams", others).select(
-        "component", F.least("nth", "other").alias("a"), F.greatest("nth", "other").alias("b"), "sid", (F.col("nth") > F.col("other")).cast("int").alias("side"), "copies", "grams"
+    tiles = placed.select("component", "nth", "sid", "sketch", others).select(
+        "component", F.least("nth", "other").alias("a"), F.greatest("nth", "other").alias("b"), "sid", (F.col("nth") > F.col("other")).cast("int").alias("side"), "sketch"
     )
-    links = spool(verify(tasks, threshold), "links")
+    nominated = spool(nominate(tiles, bound(threshold)), "nominated")
+    wanted = nominated.select("sid").distinct().join(content.select("sid", "copies", "mark"), "sid")
+    texts = docs.select("text", marked.alias("mark"))
+    # rows that are repeated have the same mark and text: one is enough
+    grams = spool(with_grams(texts.join(wanted, "mark").dropDuplicates(["sid"]), n), "grams")
+    links = spool(verify(nominated.join(grams, "sid"), threshold), "links")
     classes = components(links.select(F.col("sid").alias("u"), F.col("to").alias("v")), "classes")
     counted = links.groupBy("sid").agg(F.sum("links").alias("links"))
     known = sets.join(classes, F.col("sid") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "sid")).join(counted, "sid", "left")
     known = spool(known, "known")
-    class_ids = known.groupBy("component").agg(F.min("least").alias("best"))
-    known = known.join(class_ids, "component").select("k1", "k2", "best", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    worded = rows.where("n > 0").select("doc_id", "mark", "uid", "k1", "k2").join(known, ["k1", "k2"])
+    class_ids = spool(known.groupBy("component").agg(F.min("least").alias("best"), F.count(F.lit(1)).alias("members")), "classes")
+    known = join_counted(known, class_ids, "component", "members").select("k1", "k2", "best", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    worded = join_counted(keyed.select("doc_id", "mark", "uid", "k1", "k2"), spool(known, "linked"), ["k1", "k2"], "copies")
     worded = worded.select("doc_id", F.col("best.doc_id").alias("class_id"), "n_links", (F.col("uid") == F.col("best.uid")).alias("stays"), "mark")
     return worded.unionByName(rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"), "mark"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: one of each class."""
-    return with_rows(docs, similarity_classes(docs, n, threshold, recall).where("stays").select("doc_id", "mark", F.lit(1).alias("times")))
+    row = mark_of_row(docs)
+    return with_rows(docs, similarity_classes(docs, n, threshold, recall, row).where("stays").select("doc_id", "mark", F.lit(1).alias("times")), row)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def test_jaccard_join_of_nothing(no_docs):
 
 def test_large_groups_are_split_and_still_whole(spark, monkeypatch):
     """Buckets and components far beyond the sizes that one task handles."""
-    for name, value in (("SALT_ROWS", 16), ("SMALL", 4), ("BLOCK", 8)):
+    for name, value in (("SMALL", 4), ("BLOCK", 8)):
         monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(5)
     base = [f"w{rng.randrange(500)}" for _ in range(120)]
@@ -142,6 +142,43 @@ def test_large_groups_are_split_and_still_whole(spark, monkeypatch):
     assert got == {i: (least[r], n) for r, n, (i, _) in zip(roots, links, rows)}
 
 
+def test_buckets_are_split_until_they_are_small(spark, monkeypatch):
+    """Sets that share boilerplate, and families inside, so that buckets must be split several times."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 6)
+    levels, spool = [], jaccard_join.spool
+    monkeypatch.setattr(jaccard_join, "spool", lambda df, name: levels.append(name) or spool(df, name))
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for f in range(80):
+        own = common + [f"f{f}w{k}" for k in range(90)]
+        for k in range(3):
+            w = list(own)
+            if k:
+                w[rng.randrange(60, 150)] = f"x{f}{k}"
+            rows.append((len(rows), " ".join(w)))
+    _, roots, links = brute_classes(rows)
+    least = {r: min(i for q, (i, _) in zip(roots, rows) if q == r) for r in set(roots)}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (least[r], n) for r, n, (i, _) in zip(roots, links, rows)}
+    assert "large2" in levels
+
+
+def test_recall_is_measured(spark):
+    rng = random.Random(12)
+    sk = [bytes(rng.randrange(256) for _ in range(64)) for _ in range(20)]
+    content = spark.createDataFrame([(k, bytearray(sk[k // 2])) for k in range(40)], "sid long, sketch binary")
+    comps = spark.createDataFrame([(k, k // 2 * 2) for k in range(40)], "node long, component long")
+    assert jaccard_join.missed(content, comps, 0.8) == 0
+    assert jaccard_join.missed(content, comps.where("node not in (4, 9)"), 0.8) == 4
+    assert jaccard_join.missed(content.limit(0), comps, 0.8) == 0
+
+
+def test_bounds_of_sketches_and_runs():
+    assert 30 < jaccard_join.bound(0.8) < 45 and jaccard_join.bound(1.0) == 64 and jaccard_join.bound(0.5) < jaccard_join.bound(0.8)
+    assert jaccard_join.runs_for(0.8, 0.9) < jaccard_join.runs_for(0.8, 0.9999) < 20 and jaccard_join.runs_for(0.5, 0.99) > 3
+
+
 def test_gram_sets_match_a_plain_count():
     texts = [None, "", " \n", "a", "a b c d", "a b c d e", "a b c d e f a b c d e", "  x\ty z q  w v u\n"]
     _, sizes = jaccard_join.gram_sets(texts, 5)
