@@ -3,6 +3,7 @@
 from kindred.functions.edit import (
     damerau_levenshtein,
     damerau_levenshtein_bounded,
+    damerau_levenshtein_checked,
     damerau_levenshtein_similarity,
     edit_distance,
     hamming,

@@ -9,9 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kindred.errors import check_distance
-from kindred.functions import kernels
+from kindred.functions import batches, kernels
+from kindred.functions.batches import over
 from kindred.functions.normalize import normalize_pair
-from kindred.functions.vectorised import text_udf
+from kindred.functions.vectorised import pair_udf
 
 #: Stand-ins for grapheme clusters: one character for each distinct cluster of a pair, up to this many.
 STAND_INS = "".join(map(chr, range(0x4E00, 0x4E00 + 20_000)))
@@ -94,7 +95,14 @@ def capped(d: Column, most: int | None) -> Column:
 def damerau_levenshtein(a: Column, b: Column, max_distance: int | None = None, normalize: str | None = None) -> Column:
     """Unrestricted; over ``max_distance`` the result is ``max_distance + 1``."""
     a, b = normalize_pair(a, b, normalize)
-    return capped(text_udf(kernels.damerau, "int")(a, b), max_distance)
+    return capped(pair_udf(over(batches.damerau, kernels.damerau), "int")(a, b), max_distance)
+
+
+def damerau_levenshtein_checked(a: Column, b: Column) -> Column:
+    """``damerau_levenshtein``, but an error where a side is longer than the unrestricted distance is computed for."""
+    long = (F.length(a) > kernels.LONG) | (F.length(b) > kernels.LONG)
+    error = F.raise_error(F.lit(f"damerau_levenshtein_checked takes up to {kernels.LONG} characters")).cast("int")
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.length(a) + F.length(b)).when(long, error).otherwise(damerau_levenshtein(a, b))
 
 
 def damerau_levenshtein_bounded(a: Column, b: Column, max_distance: int, normalize: str | None = None) -> Column:
@@ -109,7 +117,7 @@ def damerau_levenshtein_similarity(a: Column, b: Column, normalize: str | None =
 
 def optimal_string_alignment(a: Column, b: Column, max_distance: int | None = None, normalize: str | None = None) -> Column:
     a, b = normalize_pair(a, b, normalize)
-    return capped(text_udf(kernels.osa, "int")(a, b), max_distance)
+    return capped(pair_udf(over(batches.osa, kernels.osa), "int")(a, b), max_distance)
 
 
 def optimal_string_alignment_similarity(a: Column, b: Column, normalize: str | None = None) -> Column:

@@ -59,27 +59,34 @@ def osa(a: Sequence, b: Sequence) -> int:
 
 
 def damerau(a: Sequence, b: Sequence) -> int:
-    """Unrestricted Damerau-Levenshtein; optimal string alignment where a side is very long."""
+    """Unrestricted Damerau-Levenshtein in linear space; optimal string alignment where a side is very long.
+
+    A swap with edits in between pays only if one of its two letters is the last of its kind right before the cell,
+    in its row or its column. So of the cells where such swaps begin, one for each column and one for the row are kept.
+    """
     if a == b:
         return 0
     if max(len(a), len(b)) > LONG:
         return osa(a, b)
-    far = len(a) + len(b)
-    last_row: dict = {}
-    d = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
-    for i in range(len(a) + 1):
-        d[i + 1][1] = i
-    for j in range(len(b) + 1):
-        d[1][j + 1] = j
+    far = len(a) + len(b) + 2
+    seen: dict = {}
+    before, old, new = [far] * (len(b) + 2), [far] * (len(b) + 2), [far, *range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        column = 0
+        old, new = new, old
+        column, corner, new[1], swap_base = -1, new[1], i, far
         for j, y in enumerate(b, 1):
-            row, swap_at = last_row.get(y, 0), column
+            best = min(old[j] + (x != y), new[j] + 1, old[j + 1] + 1)
             if x == y:
-                column = j
-            d[i + 1][j + 1] = min(d[i][j] + (x != y), d[i + 1][j] + 1, d[i][j + 1] + 1, d[row][swap_at] + (i - row - 1) + 1 + (j - swap_at - 1))
-        last_row[x] = i
-    return d[-1][-1]
+                column, before[j + 1], swap_base = j, old[j - 1], corner
+            else:
+                row = seen.get(y, -1)
+                if j - column == 1:
+                    best = min(best, before[j + 1] + i - row)
+                elif i - row == 1:
+                    best = min(best, swap_base + j - column)
+            corner, new[j + 1] = new[j + 1], best
+        seen[x] = i
+    return new[len(b) + 1]
 
 
 def lcs_length(a: Sequence, b: Sequence) -> int:

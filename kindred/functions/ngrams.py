@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.errors import check_positive
-from kindred.functions import kernels
+from kindred.functions import batches, kernels
 from kindred.functions.normalize import normalize_pair, words
-from kindred.functions.vectorised import text_udf
+from kindred.functions.vectorised import pair_udf, text_udf
 
 #: The largest n.
 MOST = 32
@@ -111,7 +111,7 @@ def lcs_similarity_max(a: Column, b: Column) -> Column:
 
 
 def longest_common_substring(a: Column, b: Column) -> Column:
-    return text_udf(kernels.common_substring, "string")(a, b)
+    return pair_udf(batches.substrings, "string")(a, b)
 
 
 def longest_common_substring_length(a: Column, b: Column) -> Column:

@@ -9,6 +9,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def pair_udf(kernel: Callable[[list, list], list], returns: str) -> Callable[[Column, Column], Column]:
+    """``kernel`` over lists, here of the distinct pairs of a batch; null if an argument is null."""
+
+    @F.pandas_udf(returns)
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict = {}
+        at = [None if x is None or y is None else known.setdefault((x, y), len(known)) for x, y in zip(a, b)]
+        got = kernel([x for x, _ in known], [y for _, y in known])
+        return pd.Series([None if k is None else got[k] for k in at], dtype=object)
+
+    return two
+
+
 def text_udf(kernel: Callable, returns: str) -> Callable[..., Column]:
     """``kernel`` over one or two string columns; null if an argument is null."""
 

@@ -15,6 +15,7 @@ from kindred.functions.registry import lengths_allow, scorer
 from kindred.operators._arguments import Algo
 from kindred.operators.cluster import connected_components
 from kindred.plans.scratch import numbered, spool, with_row_ids
+from kindred.plans.similarity_join import Field, all_cores, score_within, value_scores
 
 #: Fixed value: up to so many strings every pair is compared, beyond it sorted neighbours are.
 BRUTE_FORCE = 2000
@@ -117,11 +118,13 @@ def duplicate_edges(rows: DataFrame, algorithm: Algo, t: float, method: str, win
     if method == "auto":
         method = "brute_force" if rows.count() < BRUTE_FORCE else "snm"
     if method == "brute_force":
-        b = keys.select(F.col("id").alias("id_b"), F.col("key").alias("key_b"))
-        cheap = lengths_allow(algorithm, t, F.col("key"), F.col("key_b"))
-        pairs = keys.join(b, (F.col("id") < F.col("id_b")) & (F.lit(True) if cheap is None else cheap))
-        pairs = pairs.where(scorer(algorithm)(F.col("key"), F.col("key_b")) >= t).select(F.col("id").alias("u"), F.col("id_b").alias("v"))
-        return pairs.unionByName(copies)
+        field = Field("key", "key", algorithm)
+        a, b = keys.select(F.col("key").alias("lv"), F.col("id").alias("u")), keys.select(F.col("key").alias("rv"), F.col("id").alias("v"))
+        close, score = F.col("u") < F.col("v"), score_within(field, t)
+        cheap = lengths_allow(algorithm, t, F.col("lv"), F.col("rv"))
+        close = close if cheap is None else close & cheap
+        close = close & (score >= t) if field.name == "levenshtein" else close
+        return all_cores(a).join(b, close).where(score >= t).select("u", "v").unionByName(copies)
     # here copies fill places of the window, so all rows are compared
     pairs = neighbour_pairs(rows, ["key", "id"], window, ["id", "key"])
     scored = pairs.where(scorer(algorithm)(F.col("a.key"), F.col("b.key")) >= t)
@@ -171,10 +174,8 @@ def series_match(queries: DataFrame, targets: DataFrame, algorithm: Algo = "jaro
     t = check_similarity(min_similarity)
     q = spool(strings_of(queries, text, query_id).where("text is not null").select(F.col("id").alias("query_idx"), F.col("text").alias("query")), "queries")
     r = spool(strings_of(targets, text, target_id).where("text is not null").select(F.col("id").alias("target_idx"), F.col("text").alias("target")), "targets")
-    cheap = lengths_allow(algorithm, t, F.col("query"), F.col("target")) if t > 0 else None
-    a, b = q.select("query").distinct(), r.select("target").distinct()
-    pairs = a.crossJoin(b) if cheap is None else a.join(b, cheap)
-    scored = pairs.withColumn("score", scorer(algorithm)(F.col("query"), F.col("target"))).where(F.col("score") >= t)
+    a, b = q.select(F.col("query").alias("lv")).distinct(), r.select(F.col("target").alias("rv")).distinct()
+    scored = value_scores(a, b, Field("query", "target", algorithm), t, gated=False).select(F.col("lv").alias("query"), F.col("rv").alias("target"), F.col("s").alias("score"))
     return q.join(scored, "query").join(r, "target").select("query_idx", "query", "target_idx", "target", "score")
 
 

@@ -18,6 +18,7 @@ from kindred.functions.ngrams import extract_ngrams
 from kindred.functions.registry import lengths_allow, scorer
 from kindred.operators._arguments import Algo
 from kindred.plans.scratch import with_row_ids
+from kindred.plans.similarity_join import all_cores
 
 #: How far the nearest neighbours of an edit index are looked for, and its bounds as a FuzzyIndex.
 FARTHEST, LEAST_RADIUS, MOST_RADIUS = 20, 2, 50
@@ -103,7 +104,8 @@ class _Index:
 
     def save(self, path: str) -> None:
         """Parquet at ``path``/items and the options, one JSON line, at ``path``/options."""
-        self.items.write.mode("overwrite").parquet(f"{path}/items")
+        codec = "zstd" if self.options.get("compressed") else "snappy"
+        self.items.write.mode("overwrite").option("compression", codec).parquet(f"{path}/items")
         line = json.dumps({"kind": self.kind, "options": self.options})
         self.items.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/options")
 
@@ -138,7 +140,7 @@ class EditIndex(_Index):
         fold = F.lower if lower else (lambda c: c)
         q = queries.withColumn("_q", fold(F.col("query"))).withColumn("_far", far)
         items = self.items.withColumn("_t", fold(F.col("text")))
-        pairs = q.join(items, F.abs(F.length("_q") - F.length("_t")) <= F.col("_far"))
+        pairs = all_cores(items).join(q, F.abs(F.length("_q") - F.length("_t")) <= F.col("_far"))
         if self.options["use_damerau"]:
             pairs = pairs.withColumn("distance", edit.optimal_string_alignment(F.col("_q"), F.col("_t")))
         else:
@@ -181,16 +183,26 @@ class NgramIndex(_Index):
 
     def get_candidates(self, queries: DataFrame, text: str = "text", query_id: str | None = None, min_shared: int | None = None) -> DataFrame:
         """``query_id, id, shared`` of items that share at least one gram, or the index's share of the query's grams."""
-        q = queries_of(queries, text, query_id).withColumn("_g", self.grams(F.col("query")))
-        left = q.select("query_id", F.size("_g").alias("n"), F.explode("_g").alias("gram"))
-        right = self.items.select("id", F.explode(self.grams(F.col("text"))).alias("gram"))
-        shared = left.join(right, "gram").groupBy("query_id", "n", "id").agg(F.count(F.lit(1)).alias("shared"))
+        q = queries_of(queries, text, query_id).withColumn("_g", self.grams(F.col("query"))).withColumn("n", F.size("_g"))
         least = F.lit(min_shared) if min_shared is not None else F.greatest(F.lit(1), F.ceil(F.lit(float(self.options["min_ngram_ratio"])) * F.col("n")))
-        return shared.where(F.col("shared") >= least).select("query_id", "id", "shared")
+        q = q.select("query_id", "_g", least.alias("_least"), "n")
+        items = self.items.select("id", self.grams(F.col("text")).alias("_h"))
+        grams = items.select("id", F.explode("_h").alias("gram"))
+        # an item that shares _least of n grams shares one of the n - _least + 1 rarest: the commonest aren't joined
+        common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+        asked = q.select("query_id", "n", "_least", F.explode("_g").alias("gram")).join(common, "gram", "left")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "gram"))
+        rare = asked.withColumn("rank", rank).where((F.col("rank") <= F.col("n") - F.col("_least") + 1) & F.col("df").isNotNull())
+        met = rare.select("query_id", "gram").join(grams, "gram").select("query_id", "id").distinct()
+        both = met.join(items, "id").join(q, "query_id").withColumn("shared", F.size(F.array_intersect("_g", "_h")).cast("long"))
+        return both.where((F.col("shared") >= F.col("_least")) & (F.col("shared") > 0)).select("query_id", "id", "shared")
 
     def search(self, queries: DataFrame, algorithm: Algo = "jaro_winkler", min_similarity: float = 0.0, limit: int | None = None, normalize: str | None = "lowercase", text: str = "text", query_id: str | None = None) -> DataFrame:
-        """``query_id, query, id, text, score, data`` of candidates, scored as they are, or in lower case."""
-        t = check_similarity(min_similarity)
+        """``query_id, query, id, text, score, data`` of candidates, scored as they are, or in lower case.
+
+        Only scores of at least ``min_similarity``, and of the index's own if it has one.
+        """
+        t = max(check_similarity(min_similarity), self.options.get("min_similarity", 0.0))
         q = queries_of(queries, text, query_id)
         pairs = self.get_candidates(queries, text, query_id).join(self.items, "id").join(q, "query_id")
         a, b = (F.lower("query"), F.lower("text")) if normalize == "lowercase" else (F.col("query"), F.col("text"))
@@ -204,6 +216,20 @@ class NgramIndex(_Index):
     def find_nearest(self, queries: DataFrame, limit: int = 1, algorithm: Algo = "jaro_winkler", text: str = "text", query_id: str | None = None) -> DataFrame:
         return self.search(queries, algorithm, 0.0, limit, text=text, query_id=query_id)
 
+    def compress(self):
+        """The same index; entries are stored once each, and as Parquet pages with Zstandard when it is saved."""
+        out = self.like(self.items)
+        out.options = {**self.options, "compressed": True}
+        return out
+
+    def decompress(self):
+        out = self.like(self.items)
+        out.options = {k: v for k, v in self.options.items() if k != "compressed"}
+        return out
+
+    def is_compressed(self) -> bool:
+        return bool(self.options.get("compressed"))
+
     def compression_stats(self) -> DataFrame:
         """One row: distinct grams and postings. Parquet and Spark's rows do the compressing."""
         return self.items.select(F.explode(self.grams(F.col("text"))).alias("gram")).agg(F.countDistinct("gram").alias("grams"), F.count("gram").alias("postings"))
@@ -220,11 +246,11 @@ class ThreadSafeEditIndex(EditIndex):
 
 
 class ThreadSafeNgramIndex(NgramIndex):
-    """With defaults of its own: any shared gram makes a candidate, and case counts unless ``case_insensitive``."""
+    """With defaults of its own: any shared gram makes a candidate, case counts unless ``case_insensitive``, and no
+    search gives less than ``min_similarity``."""
 
     def __init__(self, items: DataFrame | None = None, ngram_size: int = 3, min_similarity: float = 0.0, min_ngram_ratio: float = 0.0, case_insensitive: bool = False, **more):
-        super().__init__(items, ngram_size, min_ngram_ratio, case_insensitive, **more)
-        self.min_similarity = check_similarity(min_similarity)
+        super().__init__(items, ngram_size, min_ngram_ratio, case_insensitive, min_similarity=check_similarity(min_similarity), **more)
 
 
 def spread(index: _Index, shards: int):

@@ -67,8 +67,8 @@ def fuzzy_join(
     check_columns(left, lk)
     check_columns(right, rk)
     if how in ("semi", "anti"):
-        keyed = left.select(*lk).where(" and ".join(f"`{c}` is not null" for c in lk)).distinct().withColumn("_lid", F.xxhash64(*lk))
-        b = right.select(*rk).distinct().withColumn("_rid", F.xxhash64(*rk))
+        keyed = left.select(*lk).where(" and ".join(f"`{c}` is not null" for c in lk)).distinct()
+        keyed, b = with_row_ids(keyed, "_lid"), with_row_ids(right.select(*rk).distinct(), "_rid")
         pairs = pair_scores(key_rows(keyed, lk, "_lid", "lid"), key_rows(b, rk, "_rid", "rid"), fields, t, gated=gating)
         met = keyed.join(pairs.select(F.col("lid").alias("_lid")).distinct(), "_lid", "left_semi").drop("_lid")
         return left.join(met, lk, f"left_{how}")

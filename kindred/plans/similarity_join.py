@@ -6,6 +6,7 @@ algorithm and threshold allow, fewer grams are joined without losing a pair:
 
 * Levenshtein at least t: k = (1 - t) * longer length edits destroy at most q * k of a string's q-grams, so among
   its q * k + 1 rarest there is one that survives (prefix filter). Strings with no more grams than that keep all.
+* Token sets with a Jaccard similarity of t: one of the n - t * n + 1 rarest of a set's n tokens is shared.
 * Lengths alone rule out pairs for the Levenshtein, Jaro, LCS and Hamming families.
 """
 
@@ -101,12 +102,34 @@ def by_prefixes(left: DataFrame, right: DataFrame, field: Field, least: float) -
     return heads.select("lv", "rv").unionByName(left_short.select("lv", "rv")).unionByName(right_short.select("lv", "rv")).distinct()
 
 
+def by_rare_tokens(left: DataFrame, right: DataFrame, field: Field, least: float) -> DataFrame:
+    """As ``by_grams``, but for Jaccard similarities of the tokens of at least ``least`` only.
+
+    Sets of n tokens share ``least * n`` of them, so one of the ``n - least * n + 1`` rarest of each side is shared.
+    """
+    x = left.select("lv", F.explode(field.grams(F.col("lv"))).alias("gram"))
+    y = right.select("rv", F.explode(field.grams(F.col("rv"))).alias("gram"))
+    common = x.select("gram").unionAll(y.select("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+
+    def heads(df: DataFrame, v: str) -> DataFrame:
+        each = Window.partitionBy(v)
+        ranked = df.join(common, "gram").withColumn("rank", F.row_number().over(each.orderBy("df", "gram"))).withColumn("n", F.count(F.lit(1)).over(each))
+        return ranked.where(F.col("rank") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select(v, "gram")
+
+    return heads(x, "lv").join(heads(y, "rv"), "gram").select("lv", "rv").distinct()
+
+
 def few(values: DataFrame, column: str) -> bool:
     """Whether there are at most FEW values of at most FEW_BYTES; stops counting beyond that."""
     n, size = values.limit(FEW + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(column))).first()
     return n <= FEW and (size or 0) <= FEW_BYTES
 
 
+def all_cores(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores: one side of a nested loop, which a small table would leave in one task."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def score_within(field: Field, least: float) -> Column:
     """The score of ``lv`` and ``rv``; Levenshtein stops at the distance that ``least`` allows, and is then null."""
     if field.name == "levenshtein" and least > 0:
@@ -123,18 +146,18 @@ def value_scores(left: DataFrame, right: DataFrame, field: Field, least: float,
     """
     cheap = lengths_allow(field.algorithm, least, F.col("lv"), F.col("rv")) if field.gate and least > 0 else None
     close = F.lit(True) if cheap is None else cheap
+    # a bounded Levenshtein distance is cheaper than what comes after it, other scores aren't
+    first = score_within(field, least) >= least if field.name == "levenshtein" and least > 0 else F.lit(True)
     if not gated:
-        pairs = left.join(right, close)
+        pairs = all_cores(left).join(right, close & first)
     elif few(left, "lv") and few(right, "rv"):
         x, y = left.withColumn("lg", field.grams(F.col("lv"))), right.withColumn("rg", field.grams(F.col("rv")))
-        # so few values would end in one task
-        x = x.repartition(left.sparkSession.sparkContext.defaultParallelism)
-        # a bounded Levenshtein distance is cheaper than comparing the grams, other scores aren't
-        first = score_within(field, least) >= least if field.name == "levenshtein" and least > 0 else F.lit(True)
         # the size has just been checked
-        pairs = x.join(F.broadcast(y), close & first & F.arrays_overlap("lg", "rg")).select("lv", "rv")
+        pairs = all_cores(x).join(F.broadcast(y), close & first & F.arrays_overlap("lg", "rg")).select("lv", "rv")
     elif field.name == "levenshtein" and least >= 0.5:
         pairs = by_prefixes(left, right, field, least).where(close)
+    elif field.gate == 0 and least > 0:
+        pairs = by_rare_tokens(left, right, field, least)
     else:
         pairs = by_grams(left, right, field).where(close)
     scored = pairs.withColumn("s", score_within(field, least))
