@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.functions import edit, jaro, ngrams, phonetic, ratios
+from kindred.functions import edit, jaro, ngrams, ratios
 from kindred.functions.namespace import fuzzy
 from kindred.functions.normalize import normalize_string
 from kindred.operators import batch
@@ -124,7 +124,6 @@ over_pairs(
     {"n": "list_max(list_transform(range(0, length(a) * length(a)), lambda k: CASE WHEN k // length(a) + k % length(a) < length(a) AND contains(b, substr(a, k // length(a) + 1, k % length(a) + 1)) THEN k % length(a) + 1 ELSE 0 END))"},
     n=long(ngrams.longest_common_substring_length),
 )
-over_pairs("phonetic_similarity", None, x=rounded(phonetic.soundex_similarity), m=rounded(phonetic.metaphone_similarity), d=rounded(phonetic.double_metaphone_similarity), y=phonetic.soundex_match, n=phonetic.metaphone_match, e=phonetic.double_metaphone_match)
 over_pairs("distances", {"d": "levenshtein(a, b)", "t": "damerau_levenshtein(a, b)"}, d=lambda a, b: fuzzy(a).distance(b).cast("long"), t=lambda a, b: fuzzy(a).distance(b, "damerau_levenshtein").cast("long"))
 over_pairs("is_similar", {"y": f"{S.jaro_winkler('a', 'b')} >= 0.8::DOUBLE", "l": f"{S.lev_sim('a', 'b')} >= 0.5::DOUBLE"}, y=lambda a, b: fuzzy(a).is_similar(b), l=lambda a, b: fuzzy(a).is_similar(b, 0.5, "levenshtein"))
 
@@ -175,12 +174,6 @@ def normalize_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("phonetic_codes")
-def phonetic_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, double = F.col("t"), phonetic.double_metaphone(F.col("t"))
-    return names(spark, sf_dir).select("t", phonetic.soundex(t).alias("soundex"), phonetic.metaphone(t).alias("metaphone"), double.alias("double")).select("t", "soundex", "metaphone", "double.primary", "double.alternate")
-
-
 def asked_sql(score: str, limit: int, order: str = "s DESC, id") -> str:
     return f"SELECT id, t AS text, round(s, 6) AS score FROM (SELECT id, t, {score} AS s FROM ({NAMES_SQL})) ORDER BY {order} LIMIT {limit}"
 

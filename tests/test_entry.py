@@ -10,7 +10,7 @@ import pytest
 
 from kindred.errors import ValidationError
 from kindred.plans import similarity_join
-from kindred.plans.queries import ORACLE, QUERIES
+from kindred.plans.catalog import ORACLE, QUERIES
 from kindred.sources.tables import read_records, write_matches
 from kindred.streaming.lookup import fuzzy_lookup
 
