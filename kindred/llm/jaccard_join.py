@@ -37,6 +37,7 @@ LEVELS = 4  # splits of a path that the number of runs allows for
 SMALL = 32  # a bucket that is compared outright
 BLOCK = 256  # sets of a component that one task verifies against as many
 MISSED = 1e-6  # chance that the sketches of two sets at the threshold agree in fewer bytes than ``bound`` asks for
+SLICE = 1 << 19  # bytes of text that are turned into sets at a time
 PROBES = 64  # sample sets that recall is measured with
 MORE = 8  # times that runs are added at most, as long as a probe misses a partner
 
@@ -124,7 +125,7 @@ def set_keys(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def sketch(docs: DataFrame, n: int, marked: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_size(whole):
+            for b in by_size(whole, most=SLICE):
                 grams, sizes = gram_sets(b.column("text").to_pylist(), n)
                 k1, k2 = set_keys(grams, sizes)
                 least = np.zeros((len(sizes), TOKENS + SKETCH), np.uint64)
@@ -184,14 +185,16 @@ def equal_bytes(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
 
 
+MET = "u long, v long, bucket long, size long"
+
+
 def meet(rows: DataFrame, least: int) -> DataFrame:
-    """Compares the rows (``sid, bucket, size, leader, sketch``, by bucket) of small buckets, whose ``size`` is null.
+    """Compares the rows (``sid, bucket, size, sketch``, by bucket) of small buckets, whose ``size`` is null.
 
     ``u, v`` are pairs whose sketches agree in ``least`` bytes; rows of other buckets are passed on as ``u, bucket, size``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sid", "bucket", "sketch"]
         held = None
         for b in batches:
             size = b.column("size")
@@ -199,7 +202,7 @@ def meet(rows: DataFrame, least: int) -> DataFrame:
             if passed.num_rows:
                 none = pa.nulls(passed.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([passed.column("sid"), none, passed.column("bucket"), passed.column("size")], ["u", "v", "bucket", "size"])
-            here = b.filter(size.is_null()).select(names)
+            here = b.filter(size.is_null())
             bucket, sid = here.column("bucket").to_numpy(), here.column("sid").to_numpy()
             sk = equal_bytes(here.column("sketch").to_pylist())
             if held is not None:
@@ -217,36 +220,36 @@ def meet(rows: DataFrame, least: int) -> DataFrame:
             tail = bucket == bucket[-1] if len(bucket) else np.zeros(0, bool)
             held = bucket[tail], sid[tail], sk[tail]
 
-    return rows.select("sid", "bucket", "size", "sketch").mapInArrow(run, "u long, v long, bucket long, size long")
+    return rows.select("sid", "bucket", "size", "sketch").mapInArrow(run, MET)
 
 
 def candidate_edges(content: DataFrame, threshold: float, runs: range) -> DataFrame:
     """Edges that tie together the sets (``sid, tokens, sketch``) that some bucket of the ``runs`` finds alike."""
     least, found = bound(threshold), []
     known = content.select("sid", "tokens", "sketch")
-    total = known.count()
     each = known.withColumn("bucket", F.explode(F.sequence(F.lit(runs.start).cast("long"), F.lit(runs.stop - 1).cast("long")))).withColumn("size", F.lit(None).cast("long"))
-    rows, count, level = split(each, threshold), 2 * total * len(runs), 0
-    while True:
+    rows, count, level = split(each, threshold), 2 * known.count() * len(runs), 0
+    # rows of large buckets that aren't compared: those of a family are tied to its leader, others are split again
+    passed = [F.col("sid").alias("u"), F.when(F.col("family"), F.col("leader")).alias("v"), F.when(~F.col("family"), F.col("bucket")).alias("bucket"), F.when(~F.col("family"), F.col("size")).alias("size")]
+    while count:
         large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("leader"), F.max("parent").alias("parent")).where(F.col("size") > SMALL)
         # a family: half of the parent's rows or more share a token that was chosen blindly
         large = spool(large.select("bucket", "size", "leader", F.coalesce(2 * F.col("size") >= F.col("parent"), F.lit(False)).alias("family")), f"large{level}")
         most = hot_bound(count)
-        hot = rows.join(F.broadcast(large.where(F.col("size") > most)), "bucket")
-        cold = rows.join(F.broadcast(large.where(F.col("size") > most).select("bucket")), "bucket", "left_anti").repartition("bucket")
-        cold = cold.join(large.where(F.col("size") <= most), "bucket", "left")
-        tied = lambda df: df.where("family").select(F.col("sid").alias("u"), F.col("leader").alias("v"))
-        sorted_ = cold.where("family is null or not family").sortWithinPartitions("bucket", "sid")
-        met = spool(meet(sorted_, least), f"met{level}")
-        found += [met.where("v is not null").select("u", "v"), tied(hot), tied(cold)]
-        left = met.where("v is null").select(F.col("u").alias("sid"), "bucket", "size").unionByName(hot.where("not family").select("sid", "bucket", "size"))
-        left = spool(left, f"left{level}")
-        count = 2 * left.count()
-        if not count:
+        hot = F.broadcast(large.where(F.col("size") > most))
+        stay = rows.join(hot, "bucket").select(*passed)
+        cold = rows.join(hot.select("bucket"), "bucket", "left_anti").repartition("bucket").join(large.where(F.col("size") <= most), "bucket", "left")
+        tied = cold.where("family").select(*passed)
+        compared = meet(cold.where("family is null or not family").sortWithinPartitions("bucket", "sid"), least)
+        met = spool(compared.unionByName(stay).unionByName(tied), f"met{level}")
+        found.append(met.where("v is not null").select("u", "v"))
+        if large.where("not family").isEmpty():
             break
+        left = met.where("v is null").select(F.col("u").alias("sid"), "bucket", "size")
         rows, level = spool(split(left.join(known, "sid"), threshold), f"split{level}"), level + 1
-    edges = found[0]
-    for f in found[1:]:
+        count = rows.count()
+    edges = content.select(F.col("sid").alias("u"), F.col("sid").alias("v")).limit(0)
+    for f in found:
         edges = edges.unionByName(f)
     return edges.where("u <> v")
 
@@ -377,7 +380,7 @@ def verify(tasks: DataFrame, threshold: float) -> DataFrame:
 def with_grams(rows: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_size(whole):
+            for b in by_size(whole, most=SLICE):
                 grams, sizes = gram_sets(b.column("text").to_pylist(), n)
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("sid", "copies")), pa.array([grams[e - s : e].tobytes() for s, e in zip(sizes, ends)], pa.binary())], ["sid", "copies", "grams"])
