@@ -353,15 +353,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1, epochs: int = 6,
     return net
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int) -> tuple[list[str], np.ndarray]:
-    """At most ``limit`` labelled texts that aren't held out, in the order of a hash of doc_id, as long as they have at most ``most_bytes`` together.
+def sample_of(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int) -> tuple[DataFrame, dict[int, int]]:
+    """At most ``limit`` labelled texts (``doc_id, text``) that aren't held out, and all labels of such a number of ids.
 
-    Of rows that share a doc_id the text with the least digest counts, so that the sample is the same each time.
+    They are taken in the order of a hash of doc_id, as long as they have at most ``most_bytes`` together. Of rows
+    that share a doc_id the text with the least digest counts, so that the sample is the same each time.
     """
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     chosen = {r.doc_id: r.toxic for r in known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()}
-    if not chosen:
-        return [], np.zeros(0, int)
     rows = pick(docs, "doc_id", "text").where(F.col("doc_id").isin(list(chosen)))
     sized = {r.doc_id: r.least for r in rows.groupBy("doc_id").agg(F.min(F.struct(F.sha2(text_of(), 256).alias("sha"), F.octet_length(text_of()).alias("size"))).alias("least")).collect()}
     taken, total = set(), 0
@@ -371,17 +370,28 @@ def sample_of(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int) -
             break
         taken.add(i)
     named = F.concat_ws(" ", "doc_id", F.sha2(text_of(), 256))
-    got = rows.where(named.isin([f"{i} {sized[i].sha}" for i in sorted(taken)])).dropDuplicates(["doc_id"]).collect()
-    text = {r.doc_id: r.text or "" for r in got}
-    ids = sorted(text)
-    return [text[i] for i in ids], np.array([chosen[i] for i in ids], int)
+    return rows.where(named.isin([f"{i} {sized[i].sha}" for i in sorted(taken)])).dropDuplicates(["doc_id"]), chosen
+
+
+def learnt(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int, **bounds: int) -> dict[str, np.ndarray]:
+    """What ``train`` learns from the sample, in one task, so that the driver only gets the weights."""
+    rows, toxic = sample_of(docs, labels, limit, most_bytes)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sorted((i, t or "") for b in batches for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()))
+        net = train([t for _, t in known], np.array([toxic[i] for i, _ in known], int), **bounds)
+        for name, x in net.p.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(x.shape)], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], ["name", "shape", "data"])
+
+    got = rows.repartition(1).mapInArrow(fit, "name string, shape array<long>, data binary").collect()
+    return {r.name: np.frombuffer(bytes(r.data), np.float32).reshape(r["shape"]) for r in got} if got else train([], np.zeros(0, int)).p
 
 
 def held_out(doc_id) -> F.Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000, training_bytes: int = 64 << 20, negatives: int = 24_000, worst: int = 3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000, training_bytes: int = 16 << 20, negatives: int = 24_000, worst: int = 3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each input row.
 
     Bounds hold for training alone: it is on at most ``training_rows`` labelled texts of ``training_bytes`` together
@@ -390,8 +400,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, trainin
     Repeated rows are scored alike. An empty table gives an empty result; without labels of both kinds the
     scores are constant. Extra columns are ignored.
     """
-    net = train(*sample_of(docs, labels, training_rows, training_bytes), negatives=negatives, worst=worst)
-    params = docs.sparkSession.sparkContext.broadcast(net.p)
+    params = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, training_rows, training_bytes, negatives=negatives, worst=worst))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = object.__new__(Network)
@@ -404,9 +413,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, trainin
     return rows.mapInArrow(run, SCHEMA)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000, training_bytes: int = 64 << 20, negatives: int = 24_000, worst: int = 3) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, training_rows: int = 4000, training_bytes: int = 16 << 20, negatives: int = 24_000, worst: int = 3) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below ``threshold``; a narrow pass. Training is bounded as in ``toxicity``."""
-    params = docs.sparkSession.sparkContext.broadcast(train(*sample_of(docs, labels, training_rows, training_bytes), negatives=negatives, worst=worst).p)
+    params = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, training_rows, training_bytes, negatives=negatives, worst=worst))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = object.__new__(Network)

@@ -56,11 +56,11 @@ def test_scores_depend_on_the_text_alone():
 def test_training_sample_is_bounded_and_repeatable(spark):
     docs = [(k, f"text {k} " + "x" * 100, "en", "s", 1) for k in range(60)] + [(k, f"other text of {k}", "fr", "t", 1) for k in range(0, 60, 2)] * 3
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(80)] * 2, LABELS)
-    seen = {tuple(toxicity.sample_of(spark.createDataFrame(random.Random(n).sample(docs, len(docs)), DOCS).repartition(n), labels, 30, 1 << 20)[0]) for n in (1, 3, 7)}
+    of = lambda df, *bounds: sorted(map(tuple, toxicity.sample_of(df, labels, *bounds)[0].collect()))
+    seen = {tuple(of(spark.createDataFrame(random.Random(n).sample(docs, len(docs)), DOCS).repartition(n), 30, 1 << 20)) for n in (1, 3, 7)}
     assert len(seen) == 1 and 20 <= len(*seen) <= 30
-    texts, y = toxicity.sample_of(spark.createDataFrame(docs, DOCS), labels, 30, 1000)
-    assert 0 < sum(map(len, texts)) <= 1000 and len(texts) == len(y)
-    assert toxicity.sample_of(spark.createDataFrame([], DOCS), labels, 30, 1000)[0] == []
+    assert 0 < sum(len(t) for _, t in of(spark.createDataFrame(docs, DOCS), 30, 1000)) <= 1000
+    assert of(spark.createDataFrame([], DOCS), 30, 1000) == []
 
 
 def test_gradients_of_the_network():
@@ -218,11 +218,19 @@ def test_toxic_words_beyond_the_head_of_a_run_are_found():
         assert (net.score(t) < 0.7).mean() > 0.85
 
 
-def test_bounds_of_training_are_parameters(spark, docs, monkeypatch):
+def test_bounds_of_training_are_parameters(spark, monkeypatch):
+    rows = corpus(300)
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t, _ in rows], DOCS)
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in rows], LABELS)
+    known = [(k, t, y) for k, t, y in rows if remainder(k) != 1]
+    texts, y = [t for _, t, _ in known], np.array([y for *_, y in known])
+    same = lambda p, q: all(np.array_equal(p[k], q[k]) for k in q)
+    # training runs in a task, with these bounds, and gives what it gives here
+    got = toxicity.learnt(docs, labels, 4000, 1 << 20, negatives=40, worst=1)
+    assert same(got, toxicity.train(texts, y, negatives=40, worst=1).p) and not same(got, toxicity.train(texts, y, negatives=60, worst=2).p)
     seen = []
-    monkeypatch.setattr(toxicity, "train", lambda texts, y, **bounds: seen.append(bounds) or toxicity.Network())
-    labels = spark.createDataFrame([(0, 1, 1)], LABELS)
-    toxicity.toxicity(docs, labels, negatives=5, worst=2)
-    toxicity.without_toxic(docs, labels, negatives=6, worst=1)
+    monkeypatch.setattr(toxicity, "learnt", lambda *a, **bounds: seen.append((*a[2:], bounds)) or toxicity.Network().p)
+    toxicity.toxicity(docs, labels, negatives=5, worst=2, training_rows=7)
+    toxicity.without_toxic(docs, labels, negatives=6, worst=1, training_bytes=8)
     toxicity.toxicity(docs, labels)
-    assert seen == [{"negatives": 5, "worst": 2}, {"negatives": 6, "worst": 1}, {"negatives": 24_000, "worst": 3}]
+    assert seen == [(7, 16 << 20, {"negatives": 5, "worst": 2}), (4000, 8, {"negatives": 6, "worst": 1}), (4000, 16 << 20, {"negatives": 24_000, "worst": 3})]
