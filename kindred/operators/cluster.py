@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +32,46 @@ def pull_to_least(edges: DataFrame, larger_only: bool, total: int) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, name: str = "edges") -> DataFrame:
-    """``node, component`` (its smallest node) for all nodes of ``u, v``; the number of rounds is about the logarithm of a chain's length."""
-    now = spool(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+#: Edges up to which components are found in one task: some 20 MB of numbers.
+ONE_TASK = 1 << 20
+
+
+def least_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges, and the smallest node of the component of each: hooks and shortcuts until nothing changes."""
+    node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    top = np.arange(len(node))
+    while True:
+        x, y = top[a], top[b]
+        low = np.minimum(x, y)
+        if (x == y).all():
+            return node, node[top]
+        np.minimum.at(top, np.maximum(x, y), low)
+        while (top != top[top]).any():
+            top = top[top]
+
+
+def in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+        if got:
+            node, least = least_of(*(np.concatenate(x) for x in zip(*got)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], ["node", "component"])
+
+    return edges.select("u", "v").repartition(1).mapInArrow(run, "node long, component long")
+
+
+def connected_components(edges: DataFrame, name: str = "edges", one_task: int = ONE_TASK) -> DataFrame:
+    """``node, component`` (its smallest node) for all nodes of ``u, v``; the number of rounds is about the logarithm of a chain's length.
+
+    Up to ``one_task`` edges, as counted, need no rounds: one task finds the same components.
+    """
+    now = spool(edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(), name)
     before, k = None, 0
     while True:
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+        if 0 < seen[0] <= one_task and before is None:
+            return in_one_task(now)
         if seen == before or not seen[0]:
             break
         before, k = seen, k + 1

@@ -174,6 +174,11 @@ def dedupe_snm_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "_group_id", "_is_canonical")
 
 
+@query("dedupe_snm_customers", groups_sql(snm_edges("customer", "lower(c_name)", "c_custkey", S.lev_sim("lower(a.c_name)", "lower(b.c_name)"), 0.95, 9), "customer", "c_custkey"))
+def dedupe_snm_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe_snm(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name"], "levenshtein", 0.95, id_col="c_custkey").drop("c_name")
+
+
 def kept_sql(order: str) -> str:
     return groups_sql(url_edges(S.lev_sim("a.url", "b.url"), 0.85), "pages", "page_id").replace("id = root AS _is_canonical", f"gid IS NULL OR id = first(id) OVER (PARTITION BY root ORDER BY {order}) AS _is_canonical")
 

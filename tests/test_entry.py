@@ -98,5 +98,11 @@ def test_the_library_stands_without_the_optional_part(tmp_path):
         subprocess.run(["cp", "-r", f"{ROOT}/{name}", tmp_path], check=True)
     subprocess.run(["rm", "-rf", f"{tmp_path}/kindred/llm"], check=True)
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    # the tests that remain without its own run there, too
+    subprocess.run(["cp", "-r", f"{ROOT}/tests", tmp_path], check=True)
+    subprocess.run(["rm", "-rf", f"{tmp_path}/tests/llm"], check=True)
+    some = "lev_distance or fuzzy_join_inner or dedupe_blocked or ngram_search or test_components or test_known"
+    run = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-k", f"({some}) and not optional", "tests"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=900)
+    assert run.returncode == 0 and " passed" in run.stdout, run.stdout[-2000:]
     uses = [f for f in glob.glob(f"{ROOT}/kindred/**/*.py", recursive=True) if "/llm/" not in f and re.search(r"kindred\.llm|from \.llm", open(f).read())]
     assert not uses

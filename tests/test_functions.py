@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kindred.errors import AlgorithmError, ValidationError
-from kindred.functions import edit, jaro, kernels, ngrams, phonetic, ratios, sounds
+from kindred.functions import batches, edit, jaro, kernels, ngrams, phonetic, ratios, sounds
 from kindred.functions.namespace import fuzzy
 from kindred.functions.normalize import normalize_string
 from kindred.functions.registry import Algorithm, lengths_allow, resolve, scorer
@@ -253,3 +253,48 @@ def test_sql_names(spark):
     assert "metaphone" in register(spark)
     row = spark.sql("SELECT jaro_winkler_similarity('MARTHA', 'MARHTA') AS j, damerau_levenshtein('ca', 'ac') AS d, metaphone('phone') AS m, lcs_length(null, 'a') AS n").first()
     assert abs(row.j - 0.9611) < 1e-4 and (row.d, row.m, row.n) == (1, "FN", None)
+
+
+def textbook_damerau(a, b):
+    """In quadratic space."""
+    far, last = len(a) + len(b), {}
+    d = {(-1, -1): far}
+    d |= {(i, -1): far for i in range(len(a) + 1)} | {(i, 0): i for i in range(len(a) + 1)}
+    d |= {(-1, j): far for j in range(len(b) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        column = 0
+        for j in range(1, len(b) + 1):
+            row, swap = last.get(b[j - 1], 0), column
+            same = a[i - 1] == b[j - 1]
+            column = j if same else column
+            d[i, j] = min(d[i - 1, j - 1] + (not same), d[i, j - 1] + 1, d[i - 1, j] + 1, d[row - 1, swap - 1] + i - row + j - swap - 1)
+        last[a[i - 1]] = i
+    return d[len(a), len(b)]
+
+
+words_ = st.text(alphabet="abcdé😀", max_size=14)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(words_, words_), min_size=16, max_size=60))
+def test_batches_equal_scalar_kernels(pairs):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    for batch, scalar in ((batches.jaro, kernels.jaro), (batches.jaro_winkler, kernels.jaro_winkler), (batches.osa, kernels.osa), (batches.damerau, kernels.damerau)):
+        assert batches.over(batch, scalar)(a, b) == [scalar(x, y) for x, y in pairs]
+    assert batches.over(lambda *x: batches.jaro(*x, False), lambda x, y: kernels.jaro(x, y, False), True)(a, b) == [kernels.jaro(kernels.graphemes(x), kernels.graphemes(y), False) for x, y in pairs]
+    assert batches.substrings(a, b) == [kernels.common_substring(x, y) for x, y in pairs]
+    assert [kernels.damerau(x, y) for x, y in pairs] == [textbook_damerau(x, y) for x, y in pairs]
+
+
+def test_batches_of_few_and_of_long_strings():
+    r = random.Random(4)
+    long = ["".join(r.choice("abc") for _ in range(n)) for n in (300, 257, 2000)]
+    pairs = [(x, x[:-3] + "x") for x in long] + [("", ""), ("", "a"), ("ab", "ba")] + [(f"name {k}", f"nmae {k + 1}") for k in range(40)]
+    for some in (pairs, pairs[:5], []):
+        assert batches.over(batches.osa, kernels.osa)([a for a, _ in some], [b for _, b in some]) == [kernels.osa(a, b) for a, b in some]
+
+
+def test_checked_distance_refuses_long_strings(spark):
+    assert over(spark, [("hello", "hallo"), ("", "abc"), (None, "x")], edit.damerau_levenshtein_checked) == [1, 3, None]
+    with pytest.raises(Exception, match="damerau_levenshtein_checked"):
+        over(spark, [("a" * 15_000, "test")], edit.damerau_levenshtein_checked)

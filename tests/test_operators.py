@@ -1,5 +1,6 @@
 """Joins, deduplication, batches, indexes, schema search, metrics."""
 
+import os
 import random
 
 import pytest
@@ -14,7 +15,7 @@ from kindred.operators.index import EditIndex, FuzzyIndex, HybridIndex, NgramInd
 from kindred.operators.join import fuzzy_join, match_records
 from kindred.operators.schema import MatchSchema, SchemaIndex
 from kindred.plans import neighbours, similarity_join
-from kindred.plans.scratch import numbered, with_row_ids
+from kindred.plans.scratch import hot_bound, join_counted, numbered, with_row_ids
 
 rng = random.Random(8)
 
@@ -166,7 +167,8 @@ def test_snm(spark):
         dedupe_snm(df, ["name"], window_size=0)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_components(spark, one_task):
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(k, k + 1) for k in range(100, 160)]
     parent = {}
 
@@ -177,9 +179,74 @@ def test_components(spark):
 
     for u, v in edges:
         parent[max(find(u), find(v))] = min(find(u), find(v))
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long"), one_task=one_task).collect()}
     assert got == {x: find(x) for u, v in edges if u != v for x in (u, v)}
-    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "u long, v long"), one_task=one_task).count() == 0
+
+
+@pytest.mark.parametrize("total", [None, 10_000_000])
+def test_hot_keys_are_joined_where_they_are(spark, total):
+    rows = spark.createDataFrame([(0 if k % 3 else k, k) for k in range(1500)], "key long, x long").repartition(6)
+    found = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("x").alias("top"))
+    got = join_counted(rows, found, "key", "n", total)
+    assert sorted(map(tuple, got.select("key", "x", "top").collect())) == sorted(map(tuple, rows.join(found, "key").select("key", "x", "top").collect()))
+    assert hot_bound(1 << 30) == 1 << 14
+
+
+def test_spooled_tables_are_deleted_on_request(spark):
+    from kindred.plans import scratch
+
+    df = scratch.spool(spark.range(10), "ten")
+    assert df.count() == 10
+    files = df.inputFiles()
+    scratch.clear(spark)
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from kindred.plans import scratch
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValidationError):
+        scratch.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_schema_normalises_both_sides(spark):
+    rows = spark.createDataFrame([(1, "ACME CORP", "x"), (2, "Other", None)], "id long, name string, note string")
+    asked = spark.createDataFrame([(7, "acme-corp")], "query_id long, name string")
+    for mode, want in ((None, []), ("strict", [(7, 1, 1.0)])):
+        schema = MatchSchema.builder().add_field("name", algorithm="levenshtein", normalize=mode, max_length=50).add_field("note", "long_text", chunk_size=10).build()
+        index = SchemaIndex(schema, rows, id_col="id")
+        assert [tuple(r)[:3] for r in index.search(asked, 0.9, query_id="query_id").collect()] == want
+        assert index.get(1).first().name == "ACME CORP"
+    for bad in ({"normalize": "loud"}, {"max_length": 0}, {"chunk_size": -1}, {"colour": "red"}):
+        with pytest.raises(SchemaError):
+            MatchSchema.builder().add_field("name", **bad)
+
+
+def test_least_similarity_of_an_index(spark, tmp_path):
+    items = spark.createDataFrame([(1, "abcdef"), (2, "abcxyz")], "id long, text string")
+    asked = spark.createDataFrame([(1, "abcdeg")], "id long, text string")
+    index = ThreadSafeNgramIndex(items, min_similarity=0.9, id_col="id")
+    index.save(f"file://{tmp_path}/index")
+    for i in (index, index.add_all(items.where("id > 5"), id_col="id"), ThreadSafeNgramIndex.load(spark, f"file://{tmp_path}/index")):
+        assert [r.id for r in i.search(asked, "levenshtein", query_id="id").collect()] == []
+        assert [r.id for r in i.search(asked, query_id="id").collect()] == [1]
+        assert [r.id for r in i.find_nearest(asked, 5, query_id="id").collect()] == [1]
+
+
+def test_rare_tokens_lose_no_pair(spark):
+    from kindred.plans import similarity_join as J
+
+    r = random.Random(3)
+    values = [",".join(r.sample("abcdefghij", r.randint(1, 6))) for _ in range(80)]
+    left, right = (spark.createDataFrame([(v,) for v in set(values)], f"{c} string") for c in ("lv", "rv"))
+    field = J.Field("x", "y", "jaccard", gate=0)
+    for t in (0.3, 0.5, 0.75, 1.0):
+        got = {(r.lv, r.rv) for r in J.by_rare_tokens(left, right, field, t).collect()}
+        assert all((x, y) in got for x in set(values) for y in set(values) if len({*x.split(",")} & {*y.split(",")}) >= t * len({*x.split(",")} | {*y.split(",")}))
 
 
 def test_numbering(spark):
