@@ -393,8 +393,8 @@ def candidate_components(content: DataFrame, threshold: float, recall: float) ->
     runs, edges = runs_for(threshold, recall), None
     for k in range(MORE + 1):
         got = candidate_edges(content, threshold, range(k * runs, (k + 1) * runs))
-        edges = spool((got if edges is None else edges.unionByName(got)).distinct(), "candidates")
-        comps = spool(components(edges), "components")
+        edges = got if edges is None else edges.unionByName(got)
+        comps = spool(components(edges, "candidates"), "components")
         if not missed(content, comps, threshold):
             break
     return comps
