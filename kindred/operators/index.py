@@ -17,6 +17,7 @@ from kindred.functions import edit
 from kindred.functions.ngrams import extract_ngrams
 from kindred.functions.registry import lengths_allow, scorer
 from kindred.operators._arguments import Algo
+from kindred.plans import similarity_join
 from kindred.plans.scratch import with_row_ids
 from kindred.plans.similarity_join import all_cores
 
@@ -134,13 +135,26 @@ class EditIndex(_Index):
     def within(self, queries: DataFrame, radius, lower: bool = False) -> DataFrame:
         """``query_id, id, text, distance, score, data`` of the items within ``radius``, a number or a column over the query.
 
-        Distinct strings are compared by length first, then by a distance that stops at the radius.
+        Few strings on both sides are compared outright, by length first. Else a query meets the items that have one
+        of its rarest bigrams: an edit changes two of them (a swap three), so more than the radius allows can't all be
+        missing. Queries too short for that are compared with all items by length.
         """
         far = F.lit(radius) if isinstance(radius, int) else radius
         fold = F.lower if lower else (lambda c: c)
         q = queries.withColumn("_q", fold(F.col("query"))).withColumn("_far", far)
         items = self.items.withColumn("_t", fold(F.col("text")))
-        pairs = all_cores(items).join(q, F.abs(F.length("_q") - F.length("_t")) <= F.col("_far"))
+        close = F.abs(F.length("_q") - F.length("_t")) <= F.col("_far")
+        if similarity_join.few(q, "_q") and similarity_join.few(items, "_t"):
+            pairs = all_cores(items).join(q, close)
+        else:
+            grams = items.select("id", F.explode(F.array_distinct(extract_ngrams(F.col("_t"), 2, False))).alias("gram"))
+            common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+            q = q.withColumn("_g", F.array_distinct(extract_ngrams(F.col("_q"), 2, False))).withColumn("_need", (3 if self.options["use_damerau"] else 2) * F.col("_far") + 1)
+            asked = q.where(F.size("_g") >= F.col("_need")).select("query_id", "_need", F.explode("_g").alias("gram")).join(common, "gram", "left")
+            rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "gram"))
+            met = asked.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_need")).select("query_id", "gram").join(grams, "gram").select("query_id", "id").distinct()
+            pairs = met.join(items, "id").join(q, "query_id").where(close)
+            pairs = pairs.unionByName(all_cores(items).join(q.where(F.size("_g") < F.col("_need")), close)).drop("_g", "_need")
         if self.options["use_damerau"]:
             pairs = pairs.withColumn("distance", edit.optimal_string_alignment(F.col("_q"), F.col("_t")))
         else:

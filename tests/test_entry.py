@@ -38,7 +38,7 @@ def test_query_agrees_with_its_sql(spark, duck, name):
     agrees(spark, duck, name)
 
 
-@pytest.mark.parametrize("name", ["dedupe_full", "fuzzy_join_left", "fuzzy_join_multi", "match_pairs", "schema_search_minmax", "token_set_search"])
+@pytest.mark.parametrize("name", ["dedupe_full", "fuzzy_join_left", "fuzzy_join_multi", "match_pairs", "schema_search_minmax", "token_set_search", "token_set_rare", "edit_range_search", "edit_nearest", "edit_similarity_search", "fuzzy_index_edit", "series_match"])
 def test_query_agrees_with_its_sql_where_values_are_many(spark, duck, monkeypatch, name):
     monkeypatch.setattr(similarity_join, "FEW", 0)
     agrees(spark, duck, name)

@@ -237,6 +237,18 @@ def test_least_similarity_of_an_index(spark, tmp_path):
         assert [r.id for r in i.find_nearest(asked, 5, query_id="id").collect()] == [1]
 
 
+@pytest.mark.parametrize("damerau", [False, True])
+def test_edit_index_by_grams_loses_nothing(spark, monkeypatch, damerau):
+    r = random.Random(9)
+    values = ["".join(r.choice("abcd") for _ in range(r.randint(0, 14))) for _ in range(120)]
+    items, asked = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id long, text string"), spark.createDataFrame([(k, v) for k, v in enumerate(values[::3])], "qid long, q string")
+    index = EditIndex(items, use_damerau=damerau, id_col="id")
+    found = lambda k: sorted(map(tuple, index.search(asked, max_distance=k, text="q", query_id="qid").select("query_id", "id", "distance").collect()))
+    want = {k: found(k) for k in (0, 1, 3)}
+    monkeypatch.setattr(similarity_join, "FEW", 0)
+    assert {k: found(k) for k in (0, 1, 3)} == want and len(want[3]) > len(want[1]) > 0
+
+
 def test_rare_tokens_lose_no_pair(spark):
     from kindred.plans import similarity_join as J
 
