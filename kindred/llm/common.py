@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 from pyspark.sql.window import Window
 
-from kindred.plans.scratch import fresh, hot_bound, join_counted, spool  # noqa: F401
+from kindred.plans.scratch import KEYS_BITS, fresh, hot_bound, join_counted, spool  # noqa: F401
 
 #: What splits words: ASCII white space only, the same class everywhere in this package.
 WORD = r"[^\x20\x09-\x0D]+"

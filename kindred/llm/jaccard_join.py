@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import hot_bound, join_counted, mark, mark_of_row, spool, table, with_rows
+from kindred.llm.common import KEYS_BITS, hot_bound, join_counted, mark, mark_of_row, spool, table, with_rows
 from kindred.operators.cluster import connected_components as components
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -189,19 +189,20 @@ MET = "u long, v long, bucket long, size long"
 
 
 def meet(rows: DataFrame, least: int) -> DataFrame:
-    """Compares the rows (``sid, bucket, size, sketch``, by bucket) of small buckets, whose ``size`` is null.
+    """Compares the rows (``sid, bucket, size, leader, family, sketch``, by bucket) of small buckets, whose ``size`` is null.
 
-    ``u, v`` are pairs whose sketches agree in ``least`` bytes; rows of other buckets are passed on as ``u, bucket, size``.
+    ``u, v`` are pairs whose sketches agree in ``least`` bytes, and the rows of families with their leaders; rows of
+    other large buckets are passed on as ``u, bucket, size``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            size = b.column("size")
-            passed = b.filter(size.is_valid())
-            if passed.num_rows:
-                none = pa.nulls(passed.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([passed.column("sid"), none, passed.column("bucket"), passed.column("size")], ["u", "v", "bucket", "size"])
+            size, family = b.column("size"), pc.fill_null(b.column("family"), False)
+            for some, names in ((family, ("sid", "leader", None, None)), (pc.and_not(size.is_valid(), family), ("sid", None, "bucket", "size"))):
+                rest = b.filter(some)
+                if rest.num_rows:
+                    yield pa.RecordBatch.from_arrays([rest.column(c) if c else pa.nulls(rest.num_rows, pa.int64()) for c in names], ["u", "v", "bucket", "size"])
             here = b.filter(size.is_null())
             bucket, sid = here.column("bucket").to_numpy(), here.column("sid").to_numpy()
             sk = equal_bytes(here.column("sketch").to_pylist())
@@ -220,7 +221,7 @@ def meet(rows: DataFrame, least: int) -> DataFrame:
             tail = bucket == bucket[-1] if len(bucket) else np.zeros(0, bool)
             held = bucket[tail], sid[tail], sk[tail]
 
-    return rows.select("sid", "bucket", "size", "sketch").mapInArrow(run, MET)
+    return rows.select("sid", "bucket", "size", "leader", "family", "sketch").mapInArrow(run, MET)
 
 
 def candidate_edges(content: DataFrame, threshold: float, runs: range) -> DataFrame:
@@ -235,13 +236,16 @@ def candidate_edges(content: DataFrame, threshold: float, runs: range) -> DataFr
         large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("leader"), F.max("parent").alias("parent")).where(F.col("size") > SMALL)
         # a family: half of the parent's rows or more share a token that was chosen blindly
         large = spool(large.select("bucket", "size", "leader", F.coalesce(2 * F.col("size") >= F.col("parent"), F.lit(False)).alias("family")), f"large{level}")
-        most = hot_bound(count)
-        hot = F.broadcast(large.where(F.col("size") > most))
-        stay = rows.join(hot, "bucket").select(*passed)
-        cold = rows.join(hot.select("bucket"), "bucket", "left_anti").repartition("bucket").join(large.where(F.col("size") <= most), "bucket", "left")
-        tied = cold.where("family").select(*passed)
-        compared = meet(cold.where("family is null or not family").sortWithinPartitions("bucket", "sid"), least)
-        met = spool(compared.unionByName(stay).unionByName(tied), f"met{level}")
+        # all large buckets if they are few, else those that have many of all rows, which are few: their rows stay where they are
+        few = large.count() <= 1 << KEYS_BITS
+        top = F.broadcast(large if few else large.where(F.col("size") > hot_bound(count)))
+        stay = rows.join(top, "bucket").select(*passed)
+        cold = rows.join(top.select("bucket"), "bucket", "left_anti").repartition("bucket")
+        if few:
+            cold = cold.withColumns({c: F.lit(None).cast(t) for c, t in large.dtypes if c != "bucket"})
+        else:
+            cold = cold.join(large.where(F.col("size") <= hot_bound(count)), "bucket", "left")
+        met = spool(meet(cold.sortWithinPartitions("bucket"), least).unionByName(stay), f"met{level}")
         found.append(met.where("v is not null").select("u", "v"))
         if large.where("not family").isEmpty():
             break

@@ -142,8 +142,10 @@ def test_large_groups_are_split_and_still_whole(spark, monkeypatch):
     assert got == {i: (least[r], n) for r, n, (i, _) in zip(roots, links, rows)}
 
 
-def test_buckets_are_split_until_they_are_small(spark, monkeypatch):
-    """Sets that share boilerplate, and families inside, so that buckets must be split several times."""
+@pytest.mark.parametrize("bits", [16, 0])
+def test_buckets_are_split_until_they_are_small(spark, monkeypatch, bits):
+    """Sets that share boilerplate, and families inside, so that buckets must be split several times; with few large buckets, and with many."""
+    monkeypatch.setattr(jaccard_join, "KEYS_BITS", bits)
     monkeypatch.setattr(jaccard_join, "SMALL", 6)
     levels, spool = [], jaccard_join.spool
     monkeypatch.setattr(jaccard_join, "spool", lambda df, name: levels.append(name) or spool(df, name))
