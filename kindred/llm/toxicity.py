@@ -13,6 +13,8 @@ up, which depends on the number of rows, can't matter.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ WORDS = GRAMS = 1 << TABLE_BITS
 RARE = 4
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 #: Words of text that are turned into numbers at a time, and windows that go through the network at a time.
-PIECE, BATCH = 1 << 17, 4096
+PIECE, BATCH = 1 << 15, 1024
 
 #: What ends words besides the ASCII characters that aren't letters or digits.
 BREAK = regex.compile(r"(?V1)[[\p{P}\p{White_Space}\u200B\uFEFF]--[\x00-\x7F]]")
@@ -373,6 +375,14 @@ def sample_of(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int) -
     return rows.where(named.isin([f"{i} {sized[i].sha}" for i in sorted(taken)])).dropDuplicates(["doc_id"]), chosen
 
 
+def trim() -> None:
+    """Gives memory that was freed back to the system, where the C library can: workers live on after training."""
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        gc.collect()
+        free(0)
+
+
 def learnt(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int, **bounds: int) -> dict[str, np.ndarray]:
     """What ``train`` learns from the sample, in one task, so that the driver only gets the weights."""
     rows, toxic = sample_of(docs, labels, limit, most_bytes)
@@ -380,6 +390,7 @@ def learnt(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int, **bo
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sorted((i, t or "") for b in batches for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()))
         net = train([t for _, t in known], np.array([toxic[i] for i, _ in known], int), **bounds)
+        trim()
         for name, x in net.p.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(x.shape)], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], ["name", "shape", "data"])
 
