@@ -23,7 +23,7 @@ from kindred.plans.scratch import numbered
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Documents that meet in one block of the reduction tree, on average.
-FAN_IN = 128
+FAN_IN = 512
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
