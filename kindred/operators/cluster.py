@@ -58,7 +58,7 @@ def in_one_task(edges: DataFrame) -> DataFrame:
             node, least = least_of(*(np.concatenate(x) for x in zip(*got)))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], ["node", "component"])
 
-    return edges.select("u", "v").repartition(1).mapInArrow(run, "node long, component long")
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, component long")
 
 
 def connected_components(edges: DataFrame, name: str = "edges", one_task: int = ONE_TASK) -> DataFrame:
