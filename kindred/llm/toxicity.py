@@ -394,7 +394,7 @@ def learnt(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int, **bo
         for name, x in net.p.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(x.shape)], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], ["name", "shape", "data"])
 
-    got = rows.repartition(1).mapInArrow(fit, "name string, shape array<long>, data binary").collect()
+    got = rows.coalesce(1).mapInArrow(fit, "name string, shape array<long>, data binary").collect()
     return {r.name: np.frombuffer(bytes(r.data), np.float32).reshape(r["shape"]) for r in got} if got else train([], np.zeros(0, int)).p
 
 
