@@ -45,8 +45,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """``count`` successive places from each of ``begin``."""
-    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    """``count`` successive places from each of ``begin``, in its type."""
+    out = np.repeat((begin - (np.cumsum(count) - count)).astype(begin.dtype), count)
+    out += np.arange(len(out), dtype=begin.dtype)
+    return out
 
 
 class Words:
@@ -60,15 +62,21 @@ class Words:
         buf = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
         ends_of = np.cumsum([len(r) + 1 for r in raw])
         letter = IS_LETTER[buf]
-        edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
-        start, size = edge[0::2], edge[1::2] - edge[0::2]
+        # half the space, where that is enough
+        kind = np.int32 if len(buf) < 1 << 31 else np.int64
+        edge = (np.flatnonzero(letter[1:] != letter[:-1]) + 1).astype(kind)
+        del letter
+        start, size = edge[0::2].copy(), edge[1::2] - edge[0::2]
+        del edge
         whole = size <= LONG
-        many = np.where(size > PART, -(-(size - PART) // STEP) + 1, 0) + whole
-        run = np.repeat(np.arange(len(start)), many)
-        nth = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many) - whole[run]
-        skip = np.maximum(nth, 0) * STEP
-        start, size = start[run] + skip, np.where(nth < 0, size[run], np.minimum(PART, size[run] - skip))
-        self.text = np.searchsorted(ends_of, start, side="right")
+        many = np.where(size > PART, -(-(size - PART) // STEP) + 1, 0).astype(kind) + whole.astype(kind)
+        if (many != 1).any():
+            run = np.repeat(np.arange(len(start), dtype=kind), many)
+            nth = spread(np.zeros(len(many), kind), many) - whole[run]
+            skip = np.maximum(nth, 0) * kind(STEP)
+            start, size = start[run] + skip, np.where(nth < 0, size[run], np.minimum(kind(PART), size[run] - skip))
+            del run, nth, skip
+        self.text = np.searchsorted(ends_of, start, side="right").astype(np.int32)
         key = np.zeros(len(start), np.uint64)
         with np.errstate(over="ignore"):
             k, live = 0, np.arange(len(start))
@@ -108,10 +116,13 @@ class Words:
         many = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
         text = np.repeat(np.arange(count), many)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-        at = nth[:, None] * STRIDE + np.arange(WINDOW)
-        inside = at < n[text][:, None]
-        place = np.where(inside, begin[text][:, None] + at, 0)
-        return np.where(inside, self.of[place] if len(self.of) else -1, -1).astype(np.int32), text
+        rows = np.full((len(text), WINDOW), -1, np.int32)
+        for low in range(0, len(text) if len(self.of) else 0, 1 << 13):
+            some = slice(low, low + (1 << 13))
+            at = nth[some, None] * STRIDE + np.arange(WINDOW)
+            inside = at < n[text[some]][:, None]
+            rows[some] = np.where(inside, self.of[np.where(inside, begin[text[some]][:, None] + at, 0)], -1)
+        return rows, text
 
 
 def texts_by_words(texts: list[str]) -> Iterator[list[str]]:
@@ -143,6 +154,9 @@ def to_grid(x: np.ndarray, steps: float = GRID) -> np.ndarray:
 class Network:
     """Two GRUs over word vectors, attention over their states, and a logistic output."""
 
+    #: Whether all weights are on the grid.
+    exact = False
+
     def __init__(self, seed: int = 1):
         r = np.random.default_rng(seed)
         mat = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
@@ -168,6 +182,7 @@ class Network:
     def on_grid(self) -> "Network":
         """A copy for scoring, in double precision, with all weights on the grid; the tables stay single, which holds their grid."""
         net = object.__new__(Network)
+        net.exact = True
         net.p = {k: to_grid(x).astype(np.float32 if k in ("word", "gram") else np.float64) for k, x in self.p.items()}
         return net
 
@@ -207,7 +222,7 @@ class Network:
 
     def score(self, texts: list[str]) -> np.ndarray:
         """The worst window's score of each text."""
-        net, out = self.on_grid(), []
+        net, out = self if self.exact else self.on_grid(), []
         for run in texts_by_words(texts):
             words = Words(run)
             rows, text = words.windows(len(run))
@@ -383,7 +398,7 @@ def trim() -> None:
         free(0)
 
 
-def learnt(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int, **bounds: int) -> dict[str, np.ndarray]:
+def learnt(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int, **bounds: int) -> Packed:
     """What ``train`` learns from the sample, in one task, so that the driver only gets the weights."""
     rows, toxic = sample_of(docs, labels, limit, most_bytes)
 
@@ -391,11 +406,34 @@ def learnt(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int, **bo
         known = sorted((i, t or "") for b in batches for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()))
         net = train([t for _, t in known], np.array([toxic[i] for i, _ in known], int), **bounds)
         trim()
-        for name, x in net.p.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(x.shape)], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], ["name", "shape", "data"])
+        for name, (shape, at, rows) in packed(net.p).items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(shape)], pa.list_(pa.int64())), pa.array([at.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], ["name", "shape", "at", "rows"])
+
+    got = rows.coalesce(1).mapInArrow(fit, "name string, shape array<long>, at binary, rows binary").collect()
+    if not got:
+        return packed(train([], np.zeros(0, int)).p)
+    return {r.name: (tuple(r["shape"]), np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r.rows), np.float32).reshape(-1, *r["shape"][1:])) for r in got}
+
+
+Packed = dict[str, tuple[tuple[int, ...], np.ndarray, np.ndarray]]
+
 
-    got = rows.coalesce(1).mapInArrow(fit, "name string, shape array<long>, data binary").collect()
-    return {r.name: np.frombuffer(bytes(r.data), np.float32).reshape(r["shape"]) for r in got} if got else train([], np.zeros(0, int)).p
+def packed(params: dict[str, np.ndarray]) -> Packed:
+    """Shape, numbers of the rows that aren't zero, and those rows: training touches few rows of the tables."""
+    out = {}
+    for name, x in params.items():
+        at = np.flatnonzero(x.reshape(len(x), -1).any(1)).astype(np.int32)
+        out[name] = (x.shape, at, x[at])
+    return out
+
+
+def unpacked(params: Packed) -> Network:
+    net = object.__new__(Network)
+    net.p = {}
+    for name, (shape, at, rows) in params.items():
+        net.p[name] = np.zeros(shape, np.float32)
+        net.p[name][at] = rows
+    return net
 
 
 def held_out(doc_id) -> F.Column:
@@ -414,8 +452,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, trainin
     params = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, training_rows, training_bytes, negatives=negatives, worst=worst))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = object.__new__(Network)
-        net.p = params.value
+        net = unpacked(params.value).on_grid()
         for b in batches:
             score = net.score([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -429,8 +466,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, tr
     params = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, training_rows, training_bytes, negatives=negatives, worst=worst))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = object.__new__(Network)
-        net.p = params.value
+        net = unpacked(params.value).on_grid()
         for b in batches:
             yield b.filter(pa.array(net.score([t or "" for t in b.column("text").to_pylist()]) < threshold))
 

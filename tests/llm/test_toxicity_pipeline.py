@@ -226,10 +226,10 @@ def test_bounds_of_training_are_parameters(spark, monkeypatch):
     texts, y = [t for _, t, _ in known], np.array([y for *_, y in known])
     same = lambda p, q: all(np.array_equal(p[k], q[k]) for k in q)
     # training runs in a task, with these bounds, and gives what it gives here
-    got = toxicity.learnt(docs, labels, 4000, 1 << 20, negatives=40, worst=1)
+    got = toxicity.unpacked(toxicity.learnt(docs, labels, 4000, 1 << 20, negatives=40, worst=1)).p
     assert same(got, toxicity.train(texts, y, negatives=40, worst=1).p) and not same(got, toxicity.train(texts, y, negatives=60, worst=2).p)
     seen = []
-    monkeypatch.setattr(toxicity, "learnt", lambda *a, **bounds: seen.append((*a[2:], bounds)) or toxicity.Network().p)
+    monkeypatch.setattr(toxicity, "learnt", lambda *a, **bounds: seen.append((*a[2:], bounds)) or toxicity.packed(toxicity.Network().p))
     toxicity.toxicity(docs, labels, negatives=5, worst=2, training_rows=7)
     toxicity.without_toxic(docs, labels, negatives=6, worst=1, training_bytes=8)
     toxicity.toxicity(docs, labels)
