@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -58,3 +62,12 @@ def text_of(name: str = "text") -> Column:
 def blocks_for(total_bytes: int, each: int, least: int = 12) -> int:
     """How many blocks of about ``each`` bytes hold ``total_bytes``, however many these are."""
     return int(max(least, -(-total_bytes // each)))
+
+
+def trim() -> None:
+    """Gives memory that was freed back to the system, where the C library can: Python workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import KEYS_BITS, hot_bound, join_counted, mark, mark_of_row, spool, table, with_rows
+from kindred.llm.common import KEYS_BITS, hot_bound, join_counted, mark, mark_of_row, spool, table, trim, with_rows
 from kindred.operators.cluster import connected_components as components
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -136,6 +136,7 @@ def sketch(docs: DataFrame, n: int, marked: Column) -> DataFrame:
                     [b.column("doc_id"), b.column("mark"), pa.array(sizes, pa.int64()), pa.array(k1), pa.array(k2), tokens, pa.array([r.tobytes() for r in bytes_], pa.binary())],
                     ["doc_id", "mark", "n", "k1", "k2", "tokens", "sketch"],
                 )
+        trim()
 
     return docs.select("doc_id", "text", marked.alias("mark")).mapInArrow(run, "doc_id long, mark long, n long, k1 long, k2 long, tokens array<long>, sketch binary")
 
@@ -388,6 +389,7 @@ def with_grams(rows: DataFrame, n: int) -> DataFrame:
                 grams, sizes = gram_sets(b.column("text").to_pylist(), n)
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("sid", "copies")), pa.array([grams[e - s : e].tobytes() for s, e in zip(sizes, ends)], pa.binary())], ["sid", "copies", "grams"])
+        trim()
 
     return rows.select("sid", "copies", "text").mapInArrow(run, "sid long, copies long, grams binary")
 

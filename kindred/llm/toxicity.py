@@ -13,8 +13,6 @@ up, which depends on the number of rows, can't matter.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import pick, table, text_of
+from kindred.llm.common import pick, table, text_of, trim
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH = 8, 8
@@ -390,14 +388,6 @@ def sample_of(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int) -
     return rows.where(named.isin([f"{i} {sized[i].sha}" for i in sorted(taken)])).dropDuplicates(["doc_id"]), chosen
 
 
-def trim() -> None:
-    """Gives memory that was freed back to the system, where the C library can: workers live on after training."""
-    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if free is not None:
-        gc.collect()
-        free(0)
-
-
 def learnt(docs: DataFrame, labels: DataFrame, limit: int, most_bytes: int, **bounds: int) -> Packed:
     """What ``train`` learns from the sample, in one task, so that the driver only gets the weights."""
     rows, toxic = sample_of(docs, labels, limit, most_bytes)
@@ -456,6 +446,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, trainin
         for b in batches:
             score = net.score([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        trim()
 
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, SCHEMA)
@@ -469,6 +460,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, tr
         net = unpacked(params.value).on_grid()
         for b in batches:
             yield b.filter(pa.array(net.score([t or "" for t in b.column("text").to_pylist()]) < threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
