@@ -124,7 +124,7 @@ def duplicate_edges(rows: DataFrame, algorithm: Algo, t: float, method: str, win
         cheap = lengths_allow(algorithm, t, F.col("lv"), F.col("rv"))
         close = close if cheap is None else close & cheap
         close = close & (score >= t) if field.name == "levenshtein" else close
-        return all_cores(a).join(b, close).where(score >= t).select("u", "v").unionByName(copies)
+        return all_cores(a).join(all_cores(b), close).where(score >= t).select("u", "v").unionByName(copies)
     # here copies fill places of the window, so all rows are compared
     pairs = neighbour_pairs(rows, ["key", "id"], window, ["id", "key"])
     scored = pairs.where(scorer(algorithm)(F.col("a.key"), F.col("b.key")) >= t)

@@ -145,7 +145,7 @@ class EditIndex(_Index):
         items = self.items.withColumn("_t", fold(F.col("text")))
         close = F.abs(F.length("_q") - F.length("_t")) <= F.col("_far")
         if similarity_join.few(q, "_q") and similarity_join.few(items, "_t"):
-            pairs = all_cores(items).join(q, close)
+            pairs = all_cores(items).join(all_cores(q), close)
         else:
             grams = items.select("id", F.explode(F.array_distinct(extract_ngrams(F.col("_t"), 2, False))).alias("gram"))
             common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))

@@ -126,7 +126,7 @@ def few(values: DataFrame, column: str) -> bool:
 
 
 def all_cores(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores: one side of a nested loop, which a small table would leave in one task."""
+    """``df`` dealt to all cores: a side of a nested loop, which a small table would leave in one task. Either may be the one that is broadcast."""
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
@@ -149,7 +149,7 @@ def value_scores(left: DataFrame, right: DataFrame, field: Field, least: float,
     # a bounded Levenshtein distance is cheaper than what comes after it, other scores aren't
     first = score_within(field, least) >= least if field.name == "levenshtein" and least > 0 else F.lit(True)
     if not gated:
-        pairs = all_cores(left).join(right, close & first)
+        pairs = all_cores(left).join(all_cores(right), close & first)
     elif few(left, "lv") and few(right, "rv"):
         x, y = left.withColumn("lg", field.grams(F.col("lv"))), right.withColumn("rg", field.grams(F.col("rv")))
         # the size has just been checked
