@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kindred.functions.trie import Trie
 from kindred.operators.batch import duplicate_edges
 from kindred.operators.dedupe import ROW, key_edges, match_pairs
-from kindred.operators.index import EditIndex
+from kindred.operators.index import EditIndex, NgramIndex
 from kindred.plans.similarity_join import Field
 
 
@@ -78,3 +78,26 @@ def test_nearest_items_however_far(spark, damerau):
     got = {(r.query_id, r.id, r.distance) for r in index.find_nearest(asked, 3, query_id="id").collect()}
     want = {(q, k, d) for q, text in ((9, "a" * 40), (8, "")) for d, k in sorted((lev(text, w), k) for k, w in enumerate(words))[:3]}
     assert got == want
+
+
+def test_candidates_of_an_ngram_index_need_no_join(spark, alike):
+    texts = [*alike[:60], "", "ab", "abc", "x" * 70, "é😀abc"]
+    items = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = NgramIndex(items, id_col="id").get_candidates(items.where("id % 5 = 0"), query_id="id")
+    assert "Join" not in plan(got)
+    grams = [{t[k : k + 3] for k in range(len(t) - 2)} for t in texts]
+    want = {(i, j, len(a & b)) for i, a in enumerate(grams) if i % 5 == 0 for j, b in enumerate(grams) if len(a & b) >= max(1, -(-len(a) // 5))}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("algorithm", ["levenshtein", "jaro", "jaro_winkler"])
+def test_best_of_an_ngram_index_are_those_of_all_candidates(spark, algorithm):
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 90))) for _ in range(200)]
+    items = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    index, asked = NgramIndex(items, id_col="id"), items.where("id % 20 = 0")
+    every = {}
+    for r in index.search(asked, algorithm, 0.0, None, query_id="id").collect():
+        every.setdefault(r.query_id, []).append((-r.score, r.id))
+    got = {(r.query_id, r.id) for r in index.search(asked, algorithm, 0.4, 3, query_id="id").collect()}
+    assert got == {(q, i) for q, hits in every.items() for s, i in sorted(hits)[:3] if -s >= 0.4}
